@@ -115,7 +115,7 @@ def extract_by_rules(pages: DataFrame, rules: DataFrame, key: str = "state") ->
     joined = pages.join(rules, key)
     inside = F.filter("nodes", lambda n: (n["tag"] == F.col("container_tag")) & (F.col("container_class").isNull() | F.array_contains(F.split(F.coalesce(n["cls"], F.lit("")), r"\s+"), F.col("container_class"))))
     texts = F.filter(F.transform(inside, lambda n: normalize_space(n["text"])), lambda x: x != "")
-    body = F.array_join(F.slice(texts, F.col("skip_first") + 1, F.lit(1 << 20)), F.col("joint"))
+    body = F.call_function("array_join", F.slice(texts, F.col("skip_first") + 1, F.lit(1 << 20)), F.col("joint"))
     return joined.withColumn("body", F.when(F.col("note_pattern").isNull(), body).otherwise(F.trim(F.regexp_replace(body, F.col("note_pattern"), "")))).drop(*rules.drop(key).columns)
 
 
