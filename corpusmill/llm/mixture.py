@@ -28,7 +28,7 @@ from .common import count_words, materialize
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 STEEPEST = 0.5
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 SEED = 7
 
 
