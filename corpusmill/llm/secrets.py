@@ -128,19 +128,22 @@ def find_spans(text: bytes, aho) -> list[tuple[int, int, str]]:
                 free = m.end()
                 if valid(kind, m):
                     out.append((m.start(), m.end(), kind))
-    free = 0
+    free, m = 0, None
     for at in hex_starts(text):
         run = max(at, free)
         while run > free and _HEX[text[run]]:  # to the run's first digit
             if not _HEX[text[run - 1]]:
                 break
             run -= 1
-        stop = at + 40
-        while m := PATTERNS["hex"].search(text, run):
-            if m.start() > stop:
-                break
+        # the next match is kept from place to place, so no part of a text is searched twice
+        if m is None or m.start() < run:
+            m = PATTERNS["hex"].search(text, run)
+        while m and m.start() <= at + 40:
             out.append((m.start(), m.end(), "hex"))
-            run = free = m.end()
+            free = m.end()
+            m = PATTERNS["hex"].search(text, free)
+        if m is None:
+            break
     return sorted(set(out), key=lambda s: (s[0], KINDS.index(s[2])))
 
 
