@@ -106,13 +106,21 @@ def automaton():
     return a
 
 
-def hex_starts(text: bytes) -> list[int]:
-    """Places before which no run of 24 digits that is near them begins, in order."""
+def hex_places(text: bytes) -> list[tuple[int, int]]:
+    """Where to look: from a place before which no near run of 24 digits begins, to the last at which one can begin.
+
+    A run that begins after the sampled byte x - 1 has digits at the samples x to x + 2; neighbouring x are one place,
+    whose first sample follows a byte that is no digit (or the text's start).
+    """
     b = _HEX[np.frombuffer(text, np.uint8)[::8]]
     if len(b) < 3:
         return []
     hit = np.flatnonzero(b[:-2] & b[1:-1] & b[2:])
-    return [max(0, int(x) * 8 - 8) for x in hit[np.append(True, np.diff(hit) > 1)]] if len(hit) else []
+    if not len(hit):
+        return []
+    cut = np.flatnonzero(np.diff(hit) > 1)
+    first, last = hit[np.append(0, cut + 1)], hit[np.append(cut, len(hit) - 1)]
+    return list(zip(np.maximum(0, first * 8 - 8).tolist(), (last * 8).tolist(), strict=True))
 
 
 def find_spans(text: bytes, aho) -> list[tuple[int, int, str]]:
@@ -128,20 +136,14 @@ def find_spans(text: bytes, aho) -> list[tuple[int, int, str]]:
                 free = m.end()
                 if valid(kind, m):
                     out.append((m.start(), m.end(), kind))
-    free, m = 0, None
-    for at in hex_starts(text):
-        run = max(at, free)
-        while run > free and _HEX[text[run]]:  # to the run's first digit
-            if not _HEX[text[run - 1]]:
-                break
-            run -= 1
+    m = None
+    for at, last in hex_places(text):
         # the next match is kept from place to place, so no part of a text is searched twice
-        if m is None or m.start() < run:
-            m = PATTERNS["hex"].search(text, run)
-        while m and m.start() <= at + 40:
+        if m is None or m.start() < at:
+            m = PATTERNS["hex"].search(text, at)
+        while m and m.start() <= last:
             out.append((m.start(), m.end(), "hex"))
-            free = m.end()
-            m = PATTERNS["hex"].search(text, free)
+            m = PATTERNS["hex"].search(text, m.end())
         if m is None:
             break
     return sorted(set(out), key=lambda s: (s[0], KINDS.index(s[2])))

@@ -170,6 +170,15 @@ def test_op3_any_text(text, mark):
     assert hashlib.sha256(joined.encode()).hexdigest() == secrets.brute_force(t)[3]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["abc def ", "é", "G", "deadbeef ", "token=", "0" * 7, "a" * 23, "b" * 24, "c1" * 30]), max_size=30))
+def test_op3_runs_among_words_of_hexadecimal_digits(parts):
+    t = "".join(parts)
+    spans = [s for s in secrets.in_code_points(t.encode(), secrets.find_spans(t.encode(), secrets.automaton())) if s[2] in secrets.KINDS[:3]]
+    joined = ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
+    assert hashlib.sha256(joined.encode()).hexdigest() == secrets.brute_force(t)[3]
+
+
 def test_op3_checksums():
     body = b"A" * 30
     good, bad = b"ghp_" + body + secrets.base62_crc(body), b"ghp_" + body + b"000000"
