@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import exprs as X
-from ..operators import chunking, frontier, guard, html, retrieval, rollups, sync, usage
+from ..operators import chunking, frontier, guard, html, retrieval, rollups, scope, sync, usage
 from ..sources.files import prices
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -427,3 +427,31 @@ def link_frontier(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     edges = part.filter("p_partkey > 0").select(F.expr("p_partkey div 2").alias("src"), F.col("p_partkey").alias("dst"))
     return frontier.walk(edges, part.filter("p_partkey = 0").select(F.col("p_partkey").alias("node")))
+
+
+# --- scope -----------------------------------------------------------------------------------------------------
+
+
+@query(r"""SELECT page_id, tail FROM (SELECT page_id, url, regexp_extract(url, '([^/]*)$', 1) AS tail FROM pages)
+WHERE starts_with(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/en/') OR TRY_CAST(regexp_extract(tail, '^([0-9]+)', 1) AS BIGINT) BETWEEN 100 AND 700""")
+def scope_filter(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", X.url_path(F.col("url")).alias("path"), F.regexp_extract("url", "([^/]*)$", 1).alias("tail"))
+    return p.filter(scope.below(F.col("path"), "/en/") | scope.lead_between(F.col("tail"), 100, 700)).select("page_id", "tail")
+
+
+@query("""SELECT doc_id, source, coalesce(topic, 'general') AS topic, coalesce(stage, 'any') AS stage
+FROM documents LEFT JOIN (SELECT source, max(lang) AS topic, CASE WHEN count(*) % 2 = 0 THEN 'filing' END AS stage FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 1 GROUP BY source) USING (source)""")
+def curated_topics(spark, sf_dir):
+    """Sources' topics from their labelled documents, as a curated table, with defaults for the others."""
+    d = table(spark, sf_dir, "documents")
+    marked = d.join(table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 1"), "doc_id")
+    topics = marked.groupBy("source").agg(F.max("lang").alias("topic"), F.when(F.count(F.lit(1)) % 2 == 0, "filing").alias("stage"))
+    return scope.curated(d.select("doc_id", "source"), topics, "source", {"topic": "general", "stage": "any"})
+
+
+@query("""SELECT p_partkey, CASE WHEN length(n) < 5 THEN lpad(n, 5, '0') ELSE n END AS padded, '25-' || n AS titled,
+  'HRS_' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 4, '0') || '-' || lpad(CAST(p_size AS VARCHAR), 4, '0') AS named
+FROM (SELECT p_partkey, p_size, CAST(p_partkey AS VARCHAR) AS n FROM part)""")
+def section_recode(spark, sf_dir):
+    n, pair = F.col("p_partkey").cast("string"), F.concat_ws("-", F.col("p_partkey") % 1000, "p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", scope.padded_number(n).alias("padded"), scope.title_number(n, "25").alias("titled"), scope.dotted_name(pair, "HRS").alias("named"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 from corpusmill.functions import exprs as X
-from corpusmill.operators import chunking, frontier, guard, html, rollups, sync, usage
+from corpusmill.operators import chunking, frontier, guard, html, rollups, scope, sync, usage
 from corpusmill.plans import registry
 from corpusmill.sources.files import prices
 
@@ -95,6 +95,21 @@ def test_slugs_walk_and_sync(spark):
     assert sorted(map(tuple, up.collect())) == sorted(map(tuple, sync.upsert_latest(up, new, ["k"], "v").collect())) == [(1, 1, "a"), (2, 2, "c")]
 
 
+def test_scope(spark):
+    assert [one(spark, n, lambda c: scope.lead_between(c, 347, 381)) for n in ("347.1", "381", "3810", "x", None)] == [True, True, False, False, False]
+    assert [one(spark, n, lambda c: scope.in_scope(c, "31-15-", r"3[13579]\d\d")) for n in ("31-15-2", "3301", "3401", "a3301", None)] == [True, True, False, False, False]
+    assert [one(spark, n, lambda c: scope.is_section_link(c, "fla._stat.")) for n in ("fla._stat._61.08", "fla._stat._title", "flaX_statX_6")] == [True, False, False]
+    assert [one(spark, n, scope.padded_number) for n in ("47", "0047", "123456", "x")] == ["00047", "00047", "123456", None]
+    assert one(spark, "00312", lambda c: scope.title_number(c, "25")) == "25-312" and one(spark, "mcl-552-9a", lambda c: scope.citation_number(c, "mcl")) == "552.9a"
+    assert [one(spark, n, lambda c: scope.dotted_name(c, "HRS")) for n in ("580-10.5", "580-10", "x")] == ["HRS_0580-0010_0005", "HRS_0580-0010", None]
+    s = spark.createDataFrame([("1", "old"), ("2", "old"), (None, "old")], "section string, topic string")
+    t = spark.createDataFrame([("1", "custody"), ("9", "x")], "section string, topic string")
+    assert {r.section: r.topic for r in scope.curated(s, t, "section", {"topic": "general"}).collect()} == {"1": "custody", "2": "general", None: "general"}
+    assert [r.section for r in scope.allowed(s, t, ["section"]).collect()] == ["1"] and scope.of_kinds(s.withColumnRenamed("topic", "kind"), {"old": False, "new": True}).count() == 0
+    r = spark.createDataFrame([("ct", ["a", "b"]), ("ny", None)], "slug string, courtlistener_courts array<string>")
+    assert sorted(map(tuple, scope.state_courts(r).collect()), key=repr) == [("ct", "a"), ("ct", "b"), ("ny", None)]
+
+
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
