@@ -108,6 +108,24 @@ def test_op1_probabilities_of_next_bytes_sum_to_one():
     assert 0.9 < p[third].sum() <= 1.000001  # all but the white-space bytes other than the end of the word
 
 
+def test_op1_weights_follow_all_occurrences(spark, docs):
+    words = [b"abc", b"abd", b"ab", b"b", b"\n"]
+    for scale in (1, 1000):  # no cap on how much an often seen step weighs
+        e = mixing_lm.Edges(words, np.zeros(5, np.uint8), np.array([9, 4, 3, 8, 5]) * scale)
+        tables = e.table_counts().astype(np.float32)
+        w, evidence, _ = mixing_lm.learn(e, tables)
+        s = mixing_lm.slopes(*mixing_lm.observed(e, tables), w)
+        pulled = s[:, 1 : 1 + mixing_lm.INPUTS] - (w - np.array(mixing_lm.START))
+        assert evidence.sum() == e.n.sum() * 8 and np.abs(pulled).max() < 0.01 * evidence.max()
+    scores = []
+    for n in ("4", "23"):  # nor do weights depend on how words are dealt to buckets
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        scores.append(sorted(r.score for r in mixing_lm.score_corpus(docs).collect()))
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert scores[0] == pytest.approx(scores[1], rel=1e-6)
+
+
 def brute_quality(t):
     t, w = t or "", words(t)
     lines = [x for x in t.split("\n") if words(x)]
