@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -17,17 +18,23 @@ def _written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def walk(edges: DataFrame, seeds: DataFrame, follow: Column | None = None, most_steps: int = 1000) -> DataFrame:
-    """node, depth of everything reachable over edges(src, dst) from seeds(node); each node once, at its least depth."""
+def walk(edges: DataFrame, seeds: DataFrame, follow: Column | None = None, most_steps: int | None = None) -> DataFrame:
+    """node, depth of everything reachable over edges(src, dst) from seeds(node); each node once, at its least depth.
+
+    Ends when nothing new is reached; with most_steps, raises if more steps than that would reach something.
+    """
     usable = edges.filter(follow) if follow is not None else edges
     seen = frontier = _written(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    for depth in range(1, most_steps + 1):
+    for depth in count(1):
         reached = frontier.join(usable, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         frontier = _written(reached.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
-            break
+            return seen
+        if most_steps is not None and depth > most_steps:
+            raise ValueError(f"nodes are left after {most_steps} steps")
         seen = seen.unionByName(frontier)
-    return seen
+        if depth % 32 == 0:  # a plan of bounded size however deep the walk is
+            seen = _written(seen)
 
 
 def descends(parent: Column, child: Column) -> Column:
@@ -35,11 +42,27 @@ def descends(parent: Column, child: Column) -> Column:
     return F.startswith(child, F.concat(parent, F.lit("_"))) & (child != parent)
 
 
-def chain(pointers: DataFrame, start: str, prefix: str, most_steps: int = 1000) -> DataFrame:
-    """Successors from a start while the name keeps the prefix: node, step.  pointers(node, next)."""
-    stop = F.startswith("dst", F.lit(prefix))
-    edges = pointers.select(F.col("node").alias("src"), F.col("next").alias("dst"))
-    return walk(edges, pointers.filter(F.col("node") == start).select("node"), stop, most_steps).withColumnRenamed("depth", "step")
+def chain(pointers: DataFrame, start: str, prefix: str, most_steps: int | None = None) -> DataFrame:
+    """Successors from a start while the name keeps the prefix: node, step.  pointers(node, next).
+
+    By pointer doubling: each round jumps twice as far, so a chain of n takes about log2(n) rounds.  Ends when
+    nothing new is reached; with most_steps, raises if the chain goes on beyond it.
+    """
+    kept = pointers.filter(F.startswith("next", F.lit(prefix))).select(F.col("node").alias("src"), F.col("next").alias("dst"))
+    jump = _written(kept.distinct())
+    seen = _written(pointers.filter(F.col("node") == start).select("node").distinct().withColumn("step", F.lit(0)))
+    n, far = seen.count(), 1
+    while True:
+        reached = seen.join(jump, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("step") + far).alias("step"))
+        seen = _written(seen.unionByName(reached).groupBy("node").agg(F.min("step").alias("step")))
+        found = seen.agg(F.count(F.lit(1)), F.max("step")).head()
+        if most_steps is not None and (found[1] or 0) > most_steps:
+            raise ValueError(f"the chain goes on after {most_steps} steps")
+        if found[0] == n:
+            return seen
+        n, far = found[0], 2 * far
+        on = jump.select(F.col("src").alias("dst"), F.col("dst").alias("end"))
+        jump = _written(jump.join(on, "dst").select("src", F.col("end").alias("dst")).distinct())
 
 
 def two_levels(links: DataFrame, root: Column, is_part: Column, is_section: Column) -> DataFrame:

@@ -95,6 +95,21 @@ def test_slugs_walk_and_sync(spark):
     assert sorted(map(tuple, up.collect())) == sorted(map(tuple, sync.upsert_latest(up, new, ["k"], "v").collect())) == [(1, 1, "a"), (2, 2, "c")]
 
 
+def test_walks_lose_nothing(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "src string, dst string")
+    seeds = spark.createDataFrame([("a",)], "node string")
+    assert frontier.walk(edges, seeds, most_steps=2).count() == 3  # nothing is left
+    with pytest.raises(ValueError):
+        frontier.walk(edges, seeds, most_steps=1)
+    pointers = spark.range(1500).selectExpr("concat('s_', id) as node", "concat(if(id < 1400, 's_', 'x_'), id + 1) as next").coalesce(1)
+    got = {r.node: r.step for r in frontier.chain(pointers, "s_0", "s_").collect()}
+    assert got == {f"s_{i}": i for i in range(1401)}
+    with pytest.raises(ValueError):
+        frontier.chain(pointers, "s_0", "s_", most_steps=1000)
+    ring = edges.selectExpr("src as node", "dst as next")
+    assert {r.node: r.step for r in frontier.chain(ring, "b", "").collect()} == {"b": 0, "c": 1, "a": 2}
+
+
 def test_scope(spark):
     assert [one(spark, n, lambda c: scope.lead_between(c, 347, 381)) for n in ("347.1", "381", "3810", "x", None)] == [True, True, False, False, False]
     assert [one(spark, n, lambda c: scope.in_scope(c, "31-15-", r"3[13579]\d\d")) for n in ("31-15-2", "3301", "3401", "a3301", None)] == [True, True, False, False, False]
