@@ -27,6 +27,8 @@ SMOOTHING = 1.0
 PRIOR_GOOD = 0.8
 #: What a rule is built to hold: at most so many of its votes on good documents are bad ones.
 MOST_WRONG = 0.02
+#: Words at which a text's share of different words is asked to be less by the root of two.
+LONG = 5000
 SYMBOLS = r"[#*$%&|<>]"
 
 
@@ -71,6 +73,7 @@ def votes() -> dict[str, Column]:
     share = lambda a, b: q(a) / F.greatest(q(b), F.lit(1))
     rule = lambda good, bad: F.when(bad, -1).when(good, 1).otherwise(0)
     mean = share("word_chars", "n_words")
+    variety = share("n_distinct", "n_words") * F.sqrt(1 + q("n_words") / LONG)
     return {
         "length": rule(q("n_words") >= 40, q("n_words") < LEAST_WORDS),
         "word_length": rule((mean >= 3.5) & (mean <= 9), (mean < 2.2) | (mean > 14)),
@@ -78,7 +81,7 @@ def votes() -> dict[str, Column]:
         "symbol_chars": rule(share("n_symbols", "word_chars") < 0.005, share("n_symbols", "word_chars") > 0.04),
         "lines": rule((share("n_dup_lines", "n_lines") == 0) & (q("n_lines") >= 3), share("n_dup_lines", "n_lines") > 0.3),
         "windows": rule(share("n_repeat_words", "n_words") < 0.02, 100 * q("n_repeat_words") > MOST_REPEATED * q("n_words")),
-        "variety": rule((share("n_distinct", "n_words") > 0.4) & (q("n_words") >= 20), (share("n_distinct", "n_words") < 0.15) & (q("n_words") < 5000)),
+        "variety": rule((variety > 0.4) & (q("n_words") >= 20), variety < 0.15),
         "capitals": rule(share("n_upper", "word_chars") < 0.08, share("n_upper", "word_chars") > 0.4),
         "shouts": rule(share("n_shouts", "n_words") < 0.01, share("n_shouts", "n_words") > 0.5),
     }
