@@ -16,7 +16,7 @@ table gives an empty table; other columns are not looked at.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,13 @@ IDENTITY_GROUPS = (
     "black white asian hispanic", "african european american", "gay lesbian straight bisexual transgender",
     "immigrant native", "immigrants natives", "old young", "elderly youthful", "deaf blind disabled", "mexican canadian", "chinese indian",
 )
-SWAPS = {a.encode(): b.encode() for g in IDENTITY_GROUPS for a, b in zip(g.split(), (*g.split()[1:], g.split()[0]), strict=True)}
+
+
+def swaps_of(groups: Iterable[str]) -> dict[bytes, bytes]:
+    """Term to term: each is swapped for the next of its group."""
+    return {a.encode(): b.encode() for g in groups for a, b in zip(g.split(), (*g.split()[1:], g.split()[0]), strict=True)}
+
+
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -113,8 +119,9 @@ def fit(rows: list[tuple[int, bytes, bytes, bytes]]) -> tuple[np.ndarray, float]
     return weights, float(b)
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int) -> list:
+def training_rows(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int, groups: Iterable[str] = IDENTITY_GROUPS) -> list:
     """At most about sample_rows labelled rows, as features (texts beyond SAMPLE_BYTES are left out of the fit)."""
+    swaps = swaps_of(groups)
     usable = labels.filter((F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1) & F.col(label_col).isNotNull())
     order = F.pmod(F.xxhash64(F.col(id_col), F.lit(10)), F.lit(1 << 30))
     total = usable.count()
@@ -130,7 +137,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, id_col: str, text_col
             for t in texts_of(batch.column(1)):
                 w = words_of(t)
                 plain = set(features(w))
-                other = set(features({SWAPS.get(x, x) for x in w})) if w & SWAPS.keys() else plain
+                other = set(features({swaps.get(x, x) for x in w})) if w & swaps.keys() else plain
                 for o, fs in zip(out, (plain, plain - other, other - plain), strict=True):
                     o.append(np.array(sorted(fs), np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(o, pa.binary()) for o in out)], ["y", "a", "b", "c"])
@@ -139,10 +146,11 @@ def training_rows(documents: DataFrame, labels: DataFrame, id_col: str, text_col
 
 
 def score_toxicity(
-    documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS
+    documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS,
+    identity_groups: Iterable[str] = IDENTITY_GROUPS,
 ) -> DataFrame:
     """One row for each document: id, held_out, score."""
-    weights, intercept = fit(training_rows(documents, labels, id_col, text_col, label_col, sample_rows))
+    weights, intercept = fit(training_rows(documents, labels, id_col, text_col, label_col, sample_rows, identity_groups))
     kept = np.flatnonzero(weights)
     shared = documents.sparkSession.sparkContext.broadcast((kept.astype(np.int32), weights[kept], intercept))
 

@@ -395,3 +395,9 @@ def test_op10_learns_and_ignores_identity(spark):
     assert mention < 0.5 * weights[toxicity.features_of_word(b"vileterm")[0]]
     assert {round(r.score, 6) for r in toxicity.score_toxicity(docs, labels.filter("false")).collect()} == {0.5}
     assert toxicity.score_toxicity(docs.filter("false"), labels).count() == 0
+
+
+def test_op10_identity_groups_of_the_caller(spark):
+    docs, labels = toxic_tables(spark)
+    rows = lambda groups: toxicity.training_rows(docs, labels, "doc_id", "text", "toxic", 10_000, groups)
+    assert any(r[2] for r in rows(["vileterm other"])) and not any(r[2] for r in rows([]))
