@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,21 +20,63 @@ SPACE = r"[\x20\x09-\x0D]"
 ADD_LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Fixed value: Spark's setting that removes the shuffle files of a query when it has ended.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_RECORDERS: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path under the shared folder the cluster names; a temporary folder only where none is named."""
+    """A new path under the shared folder the cluster names; a temporary folder only on one machine where none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="corpusmill-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Cut the lineage: write a table in the shared folder and read it again (survives lost executors)."""
-    path = scratch(df.sparkSession, tag)
+def write_table(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> tuple[DataFrame, str]:
+    """Cut the lineage: write a table in the shared folder and read it again (survives lost executors).
+
+    The shuffle files behind it go once it is written, so disk holds one step's shuffles at a time.
+    """
+    spark = df.sparkSession
+    path, before = scratch(spark, tag), spark.conf.get(CLEAN_SHUFFLES, "false")
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
+    for made in _RECORDERS:
+        made.append(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
+    """write_table() without the path."""
+    return write_table(df, tag, partition_by)[0]
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of all tables written meanwhile, for delete_tables() once nothing reads them any more."""
+    made: list[str] = []
+    _RECORDERS.append(made)
+    try:
+        yield made
+    finally:
+        _RECORDERS.remove(made)
+
+
+def delete_tables(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Remove superseded tables from the shared folder, by Hadoop's file systems, so any store that Spark writes to will do."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def ascii_lower(c: Column) -> Column:

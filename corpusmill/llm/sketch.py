@@ -1,97 +1,92 @@
-"""Count-min sketch with counters that stop at two, built by partition and merged by Spark.
+"""Count-min sketch that no task and no driver holds whole: its cells are owned by hash ranges.
 
-A cell says whether at least two items fell into it, so the sketch only ever overestimates: an item that it
-calls single is single.  The merged sketch takes depth * 2**bits / 8 bytes; bits follow the number of items up
-to a documented bound (MOST_BITS), above which more single items pass the filter and none is lost.
+A block of documents (one group of rows) lists the cells of its items, each once with a count, and sends every range
+its part, as packed differences.  The range adds up what all blocks sent and answers each with one code for each
+cell it asked about; the block takes the least of an item's rows.  Counts are only ever overestimates, so an item
+that is called single is single.
+
+Cells and ranges grow with the number of items, so the share of single items that pass doesn't: about one in
+2 ** (spare * depth).  A task holds one block or one range; blocks and ranges exchange at most one row for each of
+their pairs, and never more rows than items.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
 
 from .common import pack, unpack
 
-CHUNK_BITS = 18
-MOST_BITS = 27
+#: Items that a range is laid out for.
+RANGE_ITEMS = 1 << 20
+MOST = 255
 #: Fixed odd multipliers, one for each row of the sketch.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
-FLUSH = 2_000_000
-
+ASKED = "range long, block long, cells binary, counts binary"
+ANSWERED = "range long, block long, codes binary"
 
-def bits_for(items: float) -> int:
-    """Cells for so many items: twice as many at least, within the bounds."""
-    return int(min(MOST_BITS, max(CHUNK_BITS, np.ceil(np.log2(max(items, 2))) + 1)))
 
-
-def cells(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return (hashes * np.uint64(MULTIPLIERS[row])) >> np.uint64(64 - bits)
+def _log2(x: float) -> int:
+    return max(0, int(np.ceil(np.log2(max(x, 1)))))
 
 
 class Sketch:
-    """The merged sketch, as it is broadcast."""
-
-    def __init__(self, rows: np.ndarray, bits: int):
-        self.rows, self.bits = rows, bits
-
-    def repeated(self, hashes: np.ndarray) -> np.ndarray:
-        """Estimated to occur twice or more: the least estimate of all rows decides."""
-        out = np.ones(len(hashes), bool)
-        for k in range(len(self.rows)):
-            c = cells(hashes, k, self.bits)
-            out &= (self.rows[k][c >> np.uint64(3)] >> (c & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    """Layout of a sketch for so many items; a few numbers, which travel with the functions.
+
+    least_ranges spreads the ranges of small inputs over that many tasks.
+    """
+
+    def __init__(self, items: float, depth: int, spare: int, least_ranges: int = 1):
+        self.depth = depth
+        self.range_bits = max(_log2(items / RANGE_ITEMS), _log2(least_ranges / depth))
+        self.bits = max(_log2(items) + spare, self.range_bits + 8)
+        self.local = self.bits - self.range_bits
+
+    def cells(self, hashes: np.ndarray, row: int) -> np.ndarray:
+        return (hashes * np.uint64(MULTIPLIERS[row])) >> np.uint64(64 - self.bits)
+
+    def ask(self, block: int, hashes: np.ndarray) -> pa.Table:
+        """Rows of ASKED from all items of a block; an item is given as often as it counts."""
+        out: list[tuple] = []
+        for row in range(self.depth if len(hashes) else 0):
+            c, n = np.unique(self.cells(hashes, row), return_counts=True)
+            at = (c >> np.uint64(self.local)).astype(np.int64)
+            low = (c & np.uint64((1 << self.local) - 1)).astype(np.uint32)
+            n = np.minimum(n, MOST).astype(np.uint8)
+            cut = np.flatnonzero(np.diff(at, prepend=-1))
+            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(c)], strict=True):
+                out.append((row << self.range_bits | int(at[a]), pack(low[a:b]), zlib.compress(n[a:b].tobytes(), 1)))
+        return pa.table({
+            "range": pa.array([r[0] for r in out], pa.int64()), "block": pa.array([block] * len(out), pa.int64()),
+            "cells": pa.array([r[1] for r in out], pa.binary()), "counts": pa.array([r[2] for r in out], pa.binary()),
+        })
+
+    def judge(self, code: Callable[[np.ndarray], np.ndarray]) -> Callable[[pa.Table], pa.Table]:
+        """For groups of ASKED by range: ANSWERED, where code turns totals (MOST and above are MOST) into small numbers."""
+
+        def run(table: pa.Table) -> pa.Table:
+            total, asked = np.zeros(1 << self.local, np.uint8), []
+            for cells, counts in zip(table["cells"], table["counts"], strict=True):
+                c = unpack(cells.as_py(), np.uint32)
+                n = np.frombuffer(zlib.decompress(counts.as_py()), np.uint8)
+                total[c] = np.minimum(MOST, total[c].astype(np.uint16) + n)  # the cells of a block are distinct
+                asked.append(c)
+            codes = [zlib.compress(code(total[c]).astype(np.uint8).tobytes(), 1) for c in asked]
+            return pa.table({"range": table["range"], "block": table["block"], "codes": pa.array(codes, pa.binary())})
+
+        return run
+
+    def read(self, answers: pa.Table, hashes: np.ndarray) -> np.ndarray:
+        """The code of each item of a block, from its rows of ANSWERED."""
+        if not len(hashes):
+            return np.zeros(0, np.uint8)
+        by = sorted(zip(answers["range"].to_pylist(), answers["codes"].to_pylist(), strict=True), key=lambda r: r[0])
+        out = None
+        for row in range(self.depth):
+            _, at = np.unique(self.cells(hashes, row), return_inverse=True)
+            codes = np.concatenate([np.frombuffer(zlib.decompress(b), np.uint8) for k, b in by if k >> self.range_bits == row])
+            out = codes[at] if out is None else np.minimum(out, codes[at])
         return out
-
-
-def build(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray], bits: int, depth: int) -> Sketch:
-    """Sketch of all hashes that hashes_of gives for the batches of df."""
-    from .common import pieces
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for row in range(depth):
-                c = np.sort(cells(np.concatenate(held), row, bits))
-                last = np.append(c[1:] != c[:-1], True)
-                twice = np.append(False, c[1:] == c[:-1])[last]
-                c = c[last]
-                chunk = (c >> np.uint64(CHUNK_BITS)).astype(np.int64)
-                code = ((c & np.uint64((1 << CHUNK_BITS) - 1)).astype(np.uint32) << np.uint32(1)) | twice
-                at = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
-                parts = [pack(x) for x in np.split(code.astype(np.uint32), at[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(chunk[at] + (row << (bits - CHUNK_BITS)), pa.int64()), pa.array(parts, pa.binary())], ["chunk", "part"]
-                )
-
-        for batch in pieces(batches):
-            held.append(hashes_of(batch))
-            n += len(held[-1])
-            if n >= FLUSH:
-                yield from flush()
-                held, n = [], 0
-        if n:
-            yield from flush()
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, part in zip(batch["chunk"].to_pylist(), batch["part"].to_pylist(), strict=True):
-                code = unpack(part, np.uint32)
-                total = sums.setdefault(chunk, np.zeros(1 << CHUNK_BITS, np.uint8))
-                total[code >> 1] = np.minimum(2, total[code >> 1] + 1 + (code & 1).astype(np.uint8))
-        for chunk, total in sums.items():
-            bitmap = np.packbits(total >= 2, bitorder="little").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([bitmap], pa.binary())], ["chunk", "part"])
-
-    schema = "chunk long, part binary"
-    chunks = depth << (bits - CHUNK_BITS)
-    n = max(1, min(chunks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    merged = df.mapInArrow(partial, schema).repartition(n, "chunk").mapInArrow(merge, schema)
-    rows = np.zeros((depth << (bits - CHUNK_BITS), (1 << CHUNK_BITS) // 8), np.uint8)
-    for r in merged.toLocalIterator():  # bounded: depth * 2**bits / 8 bytes in all
-        rows[r.chunk] = np.frombuffer(r.part, np.uint8)
-    return Sketch(rows.reshape(depth, -1), bits)

@@ -9,6 +9,8 @@ from itertools import combinations
 from math import log10
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -74,13 +76,21 @@ def test_packing_and_window_hashes():
         assert len(h) == len(runs) and len(set(h.tolist())) == len(set(runs))
 
 
-def test_sketch_never_underestimates(spark):
-    values = np.random.default_rng(3).integers(0, 1 << 62, 4000)
-    data = [int(v) for v in values] + [int(v) for v in values[:900]]
-    df = spark.createDataFrame([(v,) for v in data], "v long").repartition(5)
-    s = sketch.build(df, lambda b: b.column(0).to_numpy().astype(np.uint64), 18, 2)
-    assert s.repeated(values[:900].astype(np.uint64)).all()
-    assert s.repeated(values[900:].astype(np.uint64)).mean() < 0.05
+def test_sketch_never_underestimates():
+    r = np.random.default_rng(3)
+    values = r.integers(0, 1 << 62, 4000).astype(np.uint64)
+    for spare, ranges in ((3, 1), (3, 16), (-4, 4)):  # the last one is saturated: all estimates are too high, none too low
+        s = sketch.Sketch(5000, 2, spare, ranges)
+        blocks = [np.append(values[k::5], values[:900]) for k in range(5)]
+        asked = pa.concat_tables([s.ask(k, h) for k, h in enumerate(blocks)])
+        judge = s.judge(lambda n: np.where(n > 1, n, 0))
+        answers = pa.concat_tables([judge(asked.filter(pc.equal(asked["range"], k))) for k in sorted(set(asked["range"].to_pylist()))])
+        wrong = []
+        for k, h in enumerate(blocks):
+            codes = s.read(answers.filter(pc.equal(answers["block"], k)), h)
+            assert (codes[-900:] >= 5).all()
+            wrong.append((codes[:-900][~np.isin(values[k::5], values[:900])] > 0).mean())
+        assert np.mean(wrong) < 0.05 or spare < 0
 
 
 def test_op1_base_score_and_gain(docs, rows, none):
@@ -321,13 +331,24 @@ def test_op8_components_and_links(docs, rows, none):
         assert got == brute_jaccard(rows, k, percent)
     assert jaccard.jaccard_components(none).count() == 0
     kept = jaccard.keep_one(docs)
-    assert kept.columns == docs.columns and len({r.doc_id for r in kept.collect()}) == kept.count()
+    got = kept.collect()
+    assert kept.columns == docs.columns and len({r.doc_id for r in got}) == len(got)
+    assert {tuple(r)[2:] for r in got} <= {r[2:] for r in rows}
+
+
+def test_op5_op8_saturated_sketch(docs, rows, monkeypatch):
+    """With a sketch that calls nearly everything repeated, results stay the same."""
+    monkeypatch.setattr(substrings, "SPARE", -12)
+    monkeypatch.setattr(jaccard, "SPARE", -12)
+    test_op5_removes_repeated_windows(docs, rows, docs.filter("false"))
+    assert sorted(key((r.doc_id, r.n_shingles, r.component_id, r.n_links)) for r in jaccard.jaccard_components(docs).collect()) == brute_jaccard(rows, 4, 85)
 
 
 def test_op8_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(1, 60) if i % 20] + [(5, 5)]
     random.Random(1).shuffle(edges)
-    got = {r.node: r.root for r in jaccard.components(spark.createDataFrame(edges, "x long, y long")).collect()}
+    got = {r.node: r.root for r in jaccard.components(spark.createDataFrame(edges + [(1000, k) for k in range(1001, 1400)], "x long, y long")).collect()}
+    assert all(got[k] == 1000 for k in range(1001, 1400))
     assert all(got[i] == (i - 1) // 20 * 20 + 1 for i in range(1, 61) if (i - 1) % 20)
 
 
