@@ -1,7 +1,7 @@
 """Operator 9: mixing sources to target weights by a time-varying curriculum.  DataFrame functions only.
 
 Targets: all sources share the words of the whole corpus by weight; a source stops at three times its own words
-and the rest shares what is left (water filling, solved in closed form by one window over the sources).
+and the rest shares what is left (water filling, solved in closed form by running sums over the sources in ranges).
 
 Which documents: those of a source stand in a hashed order; laid end to end and repeated, the cumulative token
 demand of the source takes each that ends within its target, and one more whose size is nearest to the rest, so
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import count_words, materialize
+from .common import count_words, materialize, row_keys
 
 #: The repeating weights, and how often a source may be seen.
 WEIGHTS = (5, 2, 1)
@@ -33,26 +33,41 @@ SEED = 7
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
-    """From (source, size): source, source_size, n, weight, target, tilt.  One row for each source."""
+    """From (source, size): source, source_size, n, weight, target, tilt.  One row for each source.
+
+    Sources are numbered and summed in ranges, so no task holds all of them: their places and the sums before them
+    are made of one row for each range (a bounded number) and a window inside it.
+    """
     s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    ordered = W.orderBy(F.col("source").asc_nulls_last())
-    at = (F.row_number().over(ordered) - 1) % len(WEIGHTS)
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (at + 1).cast("int")).cast("double")
-    s = s.withColumn("weight", weight)
-    cap = MOST_REPEATS * F.col("source_size").cast("double")
-    by_ratio = W.orderBy((cap / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    all_rows, before = W.partitionBy(), by_ratio.rowsBetween(W.unboundedPreceding, -1)
-    total = F.sum("source_size").over(all_rows).cast("double")
-    #: The level if exactly the sources before this one stop at their caps; the first that isn't above its own cap holds.
-    level = (total - F.coalesce(F.sum(cap).over(before), F.lit(0.0))) / F.sum("weight").over(by_ratio.rowsBetween(0, W.unboundedFollowing))
-    s = s.withColumn("level", level)
-    held = F.min(F.when(F.col("level") * F.col("weight") <= cap, F.struct((cap / F.col("weight")).alias("ratio"), "level"))).over(all_rows)["level"]
-    s = s.withColumn("target", F.least(cap, F.coalesce(held, F.lit(0.0)) * F.col("weight")))
-    mean = F.avg("weight").over(all_rows)
-    tilt = F.greatest(F.lit(-STEEPEST), F.least(F.lit(STEEPEST), (F.col("weight") - mean) / F.lit(float(max(WEIGHTS)))))
+    s = running(s, ["source"], {"place": F.lit(1)})
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("place") % len(WEIGHTS) + 1).cast("int")).cast("double")
+    s = s.withColumn("weight", weight).withColumn("cap", MOST_REPEATS * F.col("source_size").cast("double"))
+    s = s.withColumn("ratio", F.col("cap") / F.col("weight"))
+    s = materialize(running(s, ["ratio", "source"], {"caps_before": F.col("cap"), "weight_before": F.col("weight")}), "mix-levels")
+    total, weights, mean = s.agg(F.sum("source_size").cast("double"), F.sum("weight"), F.avg("weight")).head()
+    # the level if exactly the sources before this one stop at their caps; the first that isn't above its own cap holds
+    s = s.withColumn("level", (F.lit(total) - F.col("caps_before")) / (F.lit(weights) - F.col("weight_before")))
+    held = s.agg(F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct("ratio", (-F.col("level")).alias("minus"))))["minus"]).head()[0]  # of equal ratios the first has the largest level
+    s = s.withColumn("target", F.least("cap", F.lit(-held if held else 0.0) * F.col("weight")))
+    tilt = F.greatest(F.lit(-STEEPEST), F.least(F.lit(STEEPEST), (F.col("weight") - F.lit(mean)) / F.lit(float(max(WEIGHTS)))))
     return s.select("source", "source_size", "n", "weight", "target", tilt.alias("tilt"))
 
 
+def running(df: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """df with, for each name, the sum of its column over all rows before this one in that order (nulls last)."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c).asc_nulls_last() for c in order]
+    ranged = materialize(df.repartitionByRange(parts, *keys).withColumn("__part", F.spark_partition_id()), "mix-ranges")
+    each = ranged.groupBy("__part").agg(*(F.sum(v).alias(f"__{k}") for k, v in sums.items()))
+    ahead = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    each = each.select("__part", *(F.coalesce(F.sum(f"__{k}").over(ahead), F.lit(0)).alias(f"__{k}") for k in sums))  # one row for each range
+    inside = W.partitionBy("__part").orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)
+    out = ranged.withColumns({k: F.coalesce(F.sum(v).over(inside), F.lit(0)) for k, v in sums.items()})
+    out = out.join(F.broadcast(each), "__part")
+    return out.withColumns({k: F.col(k) + F.col(f"__{k}") for k in sums}).drop("__part", *(f"__{k}" for k in sums))
+
+
 def order_hash(doc_id: Column, text_hash: Column) -> Column:
     """A number below 2**60 that puts the documents of a source in a random but repeatable order."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(SEED)), doc_id.cast("string"), text_hash).cast("binary")), 1, 15), 16, 10).cast("long")
@@ -64,12 +79,13 @@ def invert_demand(share: Column, tilt: Column) -> Column:
     return F.when(F.abs(tilt) < 1e-9, share).otherwise(2 * share / (1 - tilt + root))
 
 
-def plan_mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row for each document: key (id, text_hash), size, source, source_size, target, copies, taken, start, tilt.
+def plan_mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keys: list[Column] | None = None) -> DataFrame:
+    """One row for each document: key (id, text_hash, k1, k2), size, source, source_size, target, copies, taken, start, tilt.
 
     start: words of the source before the document in its order; the k-th copy begins at start + k * source_size.
     """
-    narrow = documents.select(F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_hash"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size"))
+    keys = keys or [F.lit(0).cast("long").alias(c) for c in ("k1", "k2")]
+    narrow = documents.select(*keys, F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_hash"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size"))
     narrow = materialize(narrow.withColumn("h", order_hash(F.col("id"), F.col("text_hash"))), "mix-sizes")
     sources = materialize(source_targets(narrow), "mix-sources")
     # rows of about BUCKET_ROWS each, whatever the source; the bucket is a prefix of the hash, so buckets keep its order
@@ -78,7 +94,7 @@ def plan_mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     ahead = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("bs"), F.col("bucket").alias("bb"), F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)).alias("ahead"))
-    inner = W.partitionBy("source", "bucket").orderBy("h", "id", "text_hash").rowsBetween(W.unboundedPreceding, -1)
+    inner = W.partitionBy("source", "bucket").orderBy("h", "id", "text_hash", "k1", "k2").rowsBetween(W.unboundedPreceding, -1)
     placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     placed = placed.join(sums, F.col("source").eqNullSafe(F.col("bs")) & (F.col("bucket") == F.col("bb"))).withColumn("start", F.col("ahead") + F.col("inside"))
     # copies that end within the target: passes k with start + size + k * source_size <= target
@@ -89,7 +105,7 @@ def plan_mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     got = placed.groupBy("source").agg(F.max("target").alias("t"), F.sum(F.col("size") * F.col("copies")).alias("got")).select(F.col("source").alias("gs"), (F.col("t") - F.col("got")).alias("missing"))
     left = placed.filter((F.col("copies") < MOST_REPEATS) & (F.col("size") > 0)).join(got, F.col("source").eqNullSafe(F.col("gs")))
     off = F.abs(F.col("missing") - F.col("size"))
-    last = left.filter(off < F.col("missing")).groupBy("gs").agg(F.min(F.struct(off.alias("off"), "copies", "h", "id", "text_hash", "start")).alias("last"))
+    last = left.filter(off < F.col("missing")).groupBy("gs").agg(F.min(F.struct(off.alias("off"), "copies", "h", "id", "text_hash", "k1", "k2", "start")).alias("last"))
     last = last.select(F.col("gs").alias("ls"), *(F.col(f"last.{c}").alias(f"l_{c}") for c in ("h", "id", "text_hash", "start")))
     chosen = F.col("l_h").isNotNull()
     same = F.col("source").eqNullSafe(F.col("ls")) & (F.col("h") == F.col("l_h")) & F.col("id").eqNullSafe(F.col("l_id")) & (F.col("text_hash") == F.col("l_text_hash")) & (F.col("start") == F.col("l_start"))
@@ -107,20 +123,16 @@ def positions(plan: DataFrame) -> DataFrame:
 
 
 def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The training stream: documents, all columns kept, once for each copy taken, range-sorted by position."""
-    plan = positions(plan_mix(documents, id_col, text_col, source_col))
-    # equal (id, text, source) rows have equal shares of their copies: number them on both sides
-    key = ["__id", "__text", "__source", "__nth"]
-    nth = lambda d, order: d.withColumn("__nth", F.row_number().over(W.partitionBy(*key[:3]).orderBy(order)))
-    one = plan.select(F.col("id").alias("__id"), F.col("text_hash").alias("__text"), F.col("source").alias("__source"), "start", "position")
-    one = nth(one.groupBy("__id", "__text", "__source", "start").agg(F.collect_list("position").alias("__positions")), "start")
-    docs = documents.withColumns({"__id": F.col(id_col), "__text": F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")), "__source": F.col(source_col)})
-    docs = nth(docs, F.lit(0))
-    left, right = docs.alias("l"), one.alias("r")
-    match = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in key]
-    joined = left.join(right, match[0] & match[1] & match[2] & match[3]).select("l.*", F.explode("r.__positions").alias("__position"))
-    stream = joined.repartitionByRange("__position").sortWithinPartitions("__position")
-    return stream.select(*documents.columns)
+    """The training stream: documents, all columns kept, once for each copy taken, range-sorted by position.
+
+    Rows ride in a struct, so columns of any name are left as they are.  Rows equal in all columns are alike: one stands
+    for all, and the places of each are joined to it.
+    """
+    keys = row_keys(documents)
+    plan = positions(plan_mix(documents, id_col, text_col, source_col, keys)).select("k1", "k2", "position")
+    docs = documents.select(*keys, F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("doc")).dropDuplicates(["k1", "k2"])
+    stream = materialize(plan, "mix-positions").join(docs, ["k1", "k2"])
+    return stream.repartitionByRange("position", "k1", "k2").sortWithinPartitions("position", "k1", "k2").select("doc.*")
 
 
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +151,7 @@ w AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) -
 l AS (SELECT *, 3.0::DOUBLE * source_size AS cap,
         (sum(source_size) OVER ()::DOUBLE - coalesce(sum(3.0::DOUBLE * source_size) OVER (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
         / sum(weight) OVER (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-k AS (SELECT arg_min(level, cap / weight) AS held FROM l WHERE level * weight <= cap),
+k AS (SELECT (SELECT level FROM l WHERE level * weight <= cap ORDER BY cap / weight, level DESC LIMIT 1) AS held),
 t AS (SELECT source, source_size, least(cap, coalesce(held, 0) * weight) AS target, greatest(-0.5, least(0.5, (weight - avg(weight) OVER ()) / 5.0)) AS tilt FROM l, k),
 p AS (SELECT h.*, source_size, target, tilt, coalesce(sum(size) OVER (PARTITION BY h.source ORDER BY h, doc_id, x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
       FROM h JOIN t ON h.source IS NOT DISTINCT FROM t.source),
