@@ -84,6 +84,12 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, *ADD_LOWER)
 
 
+def row_keys(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of a whole row, k1 and k2; maps, which can't be hashed, as JSON."""
+    whole = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema.fields]
+    return [F.xxhash64(*whole).alias("k1"), F.xxhash64(F.lit(1), *whole).alias("k2")]
+
+
 def count_words(text: Column) -> Column:
     """Number of words; null and empty texts have none.  No array of words survives the expression."""
     pieces = F.size(F.split(text, SPACE + "+"))

@@ -224,7 +224,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     roots = components(links.filter("y is not null").select("x", "y"))
     degrees = links.groupBy("x").agg(F.sum("degree").alias("degree")).withColumnRenamed("x", "class")
     known = classes.drop("prefix", "n").join(roots.withColumnRenamed("node", "class"), "class", "left").join(degrees, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    firsts = known.groupBy("root").agg(F.min("least").alias("first"))
+    firsts = materialize(known.groupBy("root").agg(F.min("least").alias("first")), "firsts")
     known = known.join(firsts, "root").select("class", "first", (F.col("copies") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links"))
     there = some.select("id", "text_hash", "n", "class").join(materialize(known, "components"), "class")
     is_first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash"))

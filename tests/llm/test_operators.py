@@ -171,6 +171,28 @@ def test_op2_expectation_maximisation_finds_good_and_bad(spark):
     assert right / len(data) > 0.88
 
 
+def test_op2_rule_that_is_often_wrong_loses_its_say(spark):
+    """One rule calls a fifth of the good documents bad; the estimated rate says so, and they are kept."""
+    r, data = random.Random(5), []
+    for _ in range(4000):
+        good = r.random() < 0.85
+        vote = lambda wrong, caught: -1 if r.random() < (wrong if good else caught) else 1  # noqa: B023, E731
+        data.append((good, vote(0.01, 0.9), vote(0.01, 0.9), vote(0.02, 0.8), vote(0.2, 0.7)))
+    df = spark.createDataFrame(data, "good boolean, a int, b int, c int, d int")
+    model = quality.estimate(df.groupBy("a", "b", "c", "d").count().withColumnRenamed("count", "n"), list("abcd"))
+    assert model["rates"]["d"][-1][0] == pytest.approx(0.2, abs=0.04) and model["rates"]["a"][-1][1] == pytest.approx(0.9, abs=0.05)
+    only_d = df.filter("a = 1 and b = 1 and c = 1 and d = -1").withColumn("p", quality.posterior(list("abcd"), model))
+    assert only_d.count() > 300 and only_d.filter("p < 0.5").count() == 0
+
+
+def test_op2_tells_labelled_documents_apart(spark):
+    d = "/root/testdata/sf0.01"
+    out, model = quality.supervise(quality.measured(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")))
+    got = {(r["y"], r["kept"]): r["n"] for r in out.filter("not base_failed").join(spark.read.parquet(f"{d}/labels.parquet").selectExpr("doc_id", "quality as y"), "doc_id").groupBy("y", "kept").agg({"*": "count"}).toDF("y", "kept", "n").collect()}
+    assert got.get((1, False), 0) <= 0.02 * got[1, True] and got[0, False] >= 4 * got.get((0, True), 0)
+    assert min(quality.accuracies(model).values()) > 0.7
+
+
 def test_op2_variety_has_no_switch_by_length(spark):
     figures = [(n, d) for n in (4999, 5000) for d in (300, 3000)]
     df = spark.createDataFrame(figures, "n_words long, n_distinct long").selectExpr("named_struct('n_words', n_words, 'n_distinct', n_distinct) as q")
@@ -373,6 +395,7 @@ def test_op9_targets_and_copies(docs, rows, none):
     assert len(plan) == len(rows)
     for s in order:
         mine = [r for r in plan if r.source == s]
+        assert not [(r.size, r.source_size, size[s], r.target, target[s], r.taken) for r in mine if r.source_size != size[s] or r.target != pytest.approx(target[s]) or r.taken > 3 * r.size], s
         assert all(r.source_size == size[s] and r.target == pytest.approx(target[s]) and r.taken <= 3 * r.size and r.taken % max(r.size, 1) == 0 for r in mine)
         assert abs(sum(r.taken for r in mine) - target[s]) <= max(r.size for r in mine) / 2 + 1
     stream = mixture.mix(docs)
@@ -381,6 +404,15 @@ def test_op9_targets_and_copies(docs, rows, none):
     assert mixture.plan_mix(none).count() == 0 and mixture.mix(none).count() == 0
 
 
+def test_op9_many_sources_and_equal_rows(spark):
+    r = random.Random(9)
+    rows = [(i, "w " * r.randint(0, 30), f"s{r.randint(0, 300):03}", i % 3) for i in range(900)] + [(7, "a b c", "s000", k) for k in (5, 6, 6, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, k1 int").repartition(5)
+    test_op9_targets_and_copies(df, [(i, t, "", s) for i, t, s, _ in rows], df.filter("false"))
+    a, b = ([tuple(r) for r in mixture.mix(df.repartition(n)).collect()] for n in (3, 7))
+    assert sorted(a) == sorted(b)
+
+
 def test_op9_demand_is_inverted(spark):
     from pyspark.sql import functions as F
 

@@ -32,3 +32,17 @@ def test_run_is_its_stages(spark):
         docs = materialize(stage(spark, docs, SMALL), "t")
     want = P.STAGES[-1][1](spark, docs, SMALL)
     assert sorted(map(tuple, P.run(spark, SMALL).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark):
+    clash = "doc_id long, text string, lang string, source string, n_chars long, __id int, __text string, __hash long, __source int, __nth int, __position double, __row int, __w int, q string, doc string, k1 int, h1 int, block int, class string, position int, shard2 map<string,int>"
+    rows = [(i, t, "en", None, 1, 5, "x", 6, 7, 8, 0.5, 9, 10, "q", "d", 11, 12, 13, "c", 14, {"a": 1}) for i, t in enumerate(["word " * 3, None, "", *(f"the one {i} and two of three {i} or four in five {i} six" for i in range(30))])]
+    docs = spark.createDataFrame([*rows, rows[5], (None, *rows[6][1:])], clash)
+    for name, stage in P.STAGES[:-1]:
+        out = materialize(stage(spark, docs, SMALL), "t")
+        assert out.columns == docs.columns, name
+        assert {str(r[5:]) for r in out.collect()} <= {str(tuple(rows[0][5:]))}, name
+        assert stage(spark, docs.filter("false"), SMALL).count() == 0, name
+    assert len(materialize(P.STAGES[1][1](spark, docs, SMALL), "t").collect()) == len(rows)
+    assert P.STAGES[-1][1](spark, docs, SMALL).count() == len(rows) + 2
+    assert P.STAGES[-1][1](spark, docs.filter("false"), SMALL).count() == 0
