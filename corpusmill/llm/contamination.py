@@ -1,33 +1,34 @@
 """Operator 6: benchmark decontamination with suffix arrays of the training texts.
 
-Words of the benchmark get numbers; each task numbers the words of its shard of documents (a block of rows),
-sorts the suffixes of the shard and binary-searches every test suffix in it, which gives the longest verbatim
-matches and their places.  A suffix whose run of known words is shorter than the shortest test window can't
-hold a match and is left out of the array.  There is no shuffle.
+Words of the benchmark get numbers.  Each task numbers the words of its shard of documents (consecutive rows of
+bounded size), sorts the shard's suffixes in full (prefix doubling; a suffix ends at the first word the benchmark doesn't
+have) and binary-searches every suffix of every test item among them.  That gives each test suffix's longest verbatim
+match in the shard and its place; those as long as a window are hits, and all places of such a window are read off
+the array.  There is no shuffle.  longest_matches() reports the longest match over all shards.
 
 The benchmark is broadcast in blocks of at most BLOCK_WORDS words, so what a task holds is bounded; with more
 than one block the documents are scanned once for each block and the hits are merged by row.
 
 Defined results: null or empty texts have no words and are clean; null items and items without words have no
 windows; rows with a null item_id mark hits but are not listed; repeated item_ids count once; repeated documents
-are judged alike; empty tables work; other columns are not looked at.
+are judged alike; long texts are searched whole; empty tables work; other columns are not looked at, and
+decontaminate() keeps all of them.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import materialize, pieces, texts_of
+from .common import materialize, texts_of
 
 WINDOW = 13
-BLOCK_WORDS = 4_000_000
-SHARD_ROWS = 2048
-FLIP = 50_000
+BLOCK_WORDS = 1_000_000
+SHARD_BYTES = 4 << 20
 
 #: Word bytes are digits, lower-cased letters and all of non-ASCII; the rest is space.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -37,88 +38,126 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
-class TestSuffixes:
-    """Word numbers and windows of a block of items.  Short items are windows of their own."""
+class TestItems:
+    """A block of items as one array of word numbers, each item ended by a zero.  Short items are windows of their own."""
 
     __test__ = False
 
     def __init__(self, items: list[tuple[object, bytes]], window: int):
-        self.window, self.ids = window, [i for i, _ in items]
+        self.ids = [i for i, _ in items]
         self.vocabulary: dict[bytes, int] = {}
-        self.suffixes: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        self.shortest = window
-        for k, (_, text) in enumerate(items):
-            numbers = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            if not numbers:
-                continue
-            width = min(window, len(numbers))
-            self.shortest = min(self.shortest, width)
-            for at in range(len(numbers) - width + 1):
-                self.suffixes.setdefault(tuple(numbers[at : at + width]), []).append((k, at))
-        self.order = sorted(self.suffixes)
-
-
-def suffix_array(numbers: np.ndarray, shortest: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the suffixes that begin at least `shortest` known words, sorted by their first `width` words.
-
-    numbers: 0 for unknown words and for the ends of texts.  Also gives the sorted keys, one row each.
-    """
-    known = numbers > 0
-    breaks = np.flatnonzero(~known)
-    at = np.flatnonzero(known)
-    run = breaks[np.searchsorted(breaks, at)] - at
-    at = at[run >= shortest]
-    if not len(at):
-        return at, np.empty((0, width), numbers.dtype)
-    run = breaks[np.searchsorted(breaks, at)] - at
-    padded = np.append(numbers, np.zeros(width, numbers.dtype))
-    keys = padded[at[:, None] + np.arange(width)]
-    keys[np.arange(width) >= run[:, None]] = 0  # nothing beyond the first unknown word
-    order = np.lexsort(keys.T[::-1])
-    return at[order], keys[order]
-
-
-def matches(numbers: np.ndarray, tests: TestSuffixes) -> Iterator[tuple[tuple[int, ...], np.ndarray]]:
-    """Each test window that occurs, with its places: a binary search of the suffix array for each."""
-    at, keys = suffix_array(numbers, tests.shortest, tests.window)
+        parts = [np.array([*(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(t)), 0], np.int64) for _, t in items]
+        self.numbers = np.concatenate([np.zeros(0, np.int64), *parts])
+        size = np.array([len(p) - 1 for p in parts], np.int64)
+        begin = np.cumsum(size + 1) - size - 1
+        self.start = np.flatnonzero(self.numbers)  # of every suffix
+        self.item = np.repeat(np.arange(len(parts)), size)
+        self.place = self.start - np.repeat(begin, size)
+        self.left = np.repeat(size, size) - self.place
+        self.width = np.minimum(window, np.repeat(size, size))
+        self.shortest = int(self.width.min()) if len(self.width) else window
+
+
+def suffix_array(numbers: np.ndarray, shortest: int) -> np.ndarray:
+    """Places of the known words in the order of what follows them up to the next zero; runs too short for any window are
+    left out.  numbers: zeros for unknown words and for the ends of texts, and one at the end."""
+    at, breaks = np.flatnonzero(numbers), np.flatnonzero(numbers == 0)
+    end = np.searchsorted(breaks, at)
+    run = breaks[end] - at
+    begin = np.where(end > 0, breaks[end - 1] + 1, 0)
+    long = breaks[end] - begin >= shortest
+    at, run = at[long], run[long]
     if not len(at):
-        return
-    rows = [tuple(k) for k in keys.tolist()]
-    if len(tests.order) <= max(FLIP, len(rows)):
-        for w in tests.order:
-            lo = bisect_left(rows, w)
-            if lo < len(rows) and rows[lo][: len(w)] == w:
-                yield w, at[lo : bisect_right(rows, w + (1 << 40,), lo)]
-        return
-    widths = sorted({len(w) for w in tests.order})  # far fewer suffixes than tests: look each of them up instead
-    for row, place in zip(rows, at.tolist(), strict=True):
-        for width in widths:
-            if (w := row[:width]) in tests.suffixes:
-                yield w, np.array([place])
-
-
-def scan(batch: pa.RecordBatch, tests: TestSuffixes) -> list[tuple[int, list[tuple[int, int]], set[int]]]:
+        return at
+    rank, step = np.zeros(len(numbers), np.int64), 1
+    rank[at] = numbers[at]
+    while True:
+        after = np.where(step < run, rank[np.minimum(at + step, len(numbers) - 1)], 0)
+        keys, place = np.unique(rank[at] * (rank.max() + 1) + after, return_inverse=True)
+        rank[at] = place + 1
+        step *= 2
+        if len(keys) == len(at) or step > run.max():
+            return at[np.argsort(rank[at], kind="stable")]
+
+
+def compare(numbers: np.ndarray, p: np.ndarray, tests: np.ndarray, q: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair of places: sign of the shard's suffix at p against the first limit words of the test's at q, and how
+    many words they share."""
+    sign, same = np.zeros(len(p), np.int8), np.zeros(len(p), np.int64)
+    live = np.flatnonzero(limit > 0)
+    k = 0
+    while len(live):
+        a, b = numbers[np.minimum(p[live] + k, len(numbers) - 1)], tests[q[live] + k]
+        equal = (a == b) & (a > 0)
+        sign[live[~equal]] = np.sign(a - b)[~equal]
+        live = live[equal]
+        same[live] += 1
+        k += 1
+        live = live[limit[live] > k]
+    return sign, same
+
+
+def bound(numbers: np.ndarray, order: np.ndarray, tests: np.ndarray, q: np.ndarray, limit: np.ndarray, right: bool) -> np.ndarray:
+    """Binary search of many test suffixes at once: how many of the shard's come before (right: or begin with) each."""
+    lo, hi = np.zeros(len(q), np.int64), np.full(len(q), len(order))
+    live = np.flatnonzero(lo < hi)
+    while len(live):
+        mid = (lo[live] + hi[live]) // 2
+        sign, _ = compare(numbers, order[mid], tests, q[live], limit[live])
+        up = sign <= 0 if right else sign < 0
+        lo[live[up]] = mid[up] + 1
+        hi[live[~up]] = mid[~up]
+        live = live[lo[live] < hi[live]]
+    return lo
+
+
+def longest(numbers: np.ndarray, order: np.ndarray, tests: TestItems) -> tuple[np.ndarray, np.ndarray]:
+    """For every test suffix: the length of its longest match in the shard, and a place of it."""
+    at = bound(numbers, order, tests.numbers, tests.start, tests.left, False)
+    best, place = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    for near in (at - 1, at):  # what shares most words with a suffix stands next to it
+        ok = np.flatnonzero((near >= 0) & (near < len(order)))
+        _, same = compare(numbers, order[near[ok]], tests.numbers, tests.start[ok], tests.left[ok])
+        more = same > best[ok]
+        best[ok[more]], place[ok[more]] = same[more], order[near[ok[more]]]
+    return best, place
+
+
+class Shard:
+    """Texts as one array of word numbers, each ended by a zero, with their suffix array."""
+
+    def __init__(self, texts: list[bytes], tests: TestItems):
+        get = tests.vocabulary.get
+        words = [words_of(t) for t in texts]
+        self.size = np.array([len(w) for w in words], np.int64)
+        self.begin = np.cumsum(self.size + 1) - self.size - 1
+        self.numbers = np.zeros(int((self.size + 1).sum()), np.int64)
+        for at, w in zip(self.begin.tolist(), words, strict=True):
+            self.numbers[at : at + len(w)] = np.fromiter((get(x, 0) for x in w), np.int64, len(w))
+        self.order = suffix_array(self.numbers, tests.shortest) if len(tests.start) else np.zeros(0, np.int64)
+        self.length, self.where = longest(self.numbers, self.order, tests)
+
+    def text_of(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begin, places, "right") - 1
+
+
+def scan(texts: list[bytes], tests: TestItems) -> list[tuple[int, list[tuple[int, int]], set[int]]]:
     """For each text: words, hit ranges of words, numbers of the items that occur."""
-    texts, get = texts_of(batch.column(1)), tests.vocabulary.get
-    words = [words_of(t) for t in texts]
-    parts, begins, n = [], [], 0
-    for w in words:
-        begins.append(n)
-        parts.append(np.fromiter((get(x, 0) for x in w), np.int64, len(w)))
-        parts.append(np.zeros(1, np.int64))
-        n += len(w) + 1
-    out: list[tuple[int, list[tuple[int, int]], set[int]]] = [(len(w), [], set()) for w in words]
-    begin = np.array(begins)
-    for window, places in matches(np.concatenate(parts) if parts else np.zeros(1, np.int64), tests):
-        items = {k for k, _ in tests.suffixes[window]}
-        for d, p in zip((np.searchsorted(begin, places, "right") - 1).tolist(), places.tolist(), strict=True):
-            out[d][1].append((p - begins[d], p - begins[d] + len(window)))
-            out[d][2].update(items)
+    shard = Shard(texts, tests)
+    out: list[tuple[int, list[tuple[int, int]], set[int]]] = [(n, [], set()) for n in shard.size.tolist()]
+    hit = np.flatnonzero(shard.length >= tests.width)
+    sides = [bound(shard.numbers, shard.order, tests.numbers, tests.start[hit], tests.width[hit], right) for right in (False, True)]
+    for t, lo, hi in zip(hit.tolist(), *(s.tolist() for s in sides), strict=True):
+        places, width, item = shard.order[lo:hi], int(tests.width[t]), int(tests.item[t])
+        docs = shard.text_of(places)
+        for d, p in zip(docs.tolist(), (places - shard.begin[docs]).tolist(), strict=True):
+            out[d][1].append((p, p + width))
+            out[d][2].add(item)
     return out
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Overlapping or touching ranges joined: the longest verbatim matches."""
+    """Overlapping or touching ranges joined."""
     out: list[tuple[int, int]] = []
     for a, b in sorted(ranges):
         if out and a <= out[-1][1]:
@@ -128,17 +167,29 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def test_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int) -> Iterator[TestSuffixes]:
+def shards_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of about SHARD_BYTES of text, or one longer text."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            base = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, base + SHARD_BYTES, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def test_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int) -> Iterator[TestItems]:
     """The benchmark in blocks of a bounded number of words, streamed through the driver one at a time."""
     rows, n = [], 0
     for r in benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).toLocalIterator():
         rows.append((r.i, (r.t or "").encode()))
         n += len(rows[-1][1]) // 4
         if n >= block_words:
-            yield TestSuffixes(rows, window)
+            yield TestItems(rows, window)
             rows, n = [], 0
     if rows:
-        yield TestSuffixes(rows, window)
+        yield TestItems(rows, window)
 
 
 def _block_count(benchmark: DataFrame, text_col: str, block_words: int) -> bool:
@@ -161,13 +212,13 @@ def find_contamination(
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = docs.schema["id"].dataType
 
-    def one(source: DataFrame, tests: TestSuffixes | None, schema: T.StructType, carried: int) -> DataFrame:
-        shared = spark.sparkContext.broadcast(tests or TestSuffixes([], window))
+    def one(source: DataFrame, tests: TestItems | None, schema: T.StructType, carried: int) -> DataFrame:
+        shared = spark.sparkContext.broadcast(tests or TestItems([], window))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = shared.value
-            for batch in pieces(batches, SHARD_ROWS):
-                found = scan(batch, t)
+            for batch in shards_of(batches, 1):
+                found = scan(texts_of(batch.column(1)), t)
                 columns = [[n for n, _, _ in found], [merged(r) for _, r, _ in found], [sorted({str(t.ids[k]) for k in i if t.ids[k] is not None}) for _, _, i in found]]
                 anonymous = [pa.array(c, kind) for c, kind in zip(columns, _ARROW, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(k) for k in range(2, 2 + carried)), *anonymous], schema.names)
@@ -192,24 +243,61 @@ def find_contamination(
 N_HIT = "aggregate(ranges, 0L, (a, r) -> a + r[1] - r[0])"
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def longest_matches(
+    documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    window: int = WINDOW, block_words: int = BLOCK_WORDS,
+) -> DataFrame:
+    """Of every test suffix that matches at least its window somewhere: item, item_place, length of the longest verbatim
+    match over all documents, and the document and place (of least id and place) that hold it."""
+    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    items = benchmark.schema[item_col].dataType
+    schema = T.StructType([T.StructField("item", T.StringType()), T.StructField("item_place", T.IntegerType()), T.StructField("length", T.IntegerType()), docs.schema["id"], T.StructField("place", T.IntegerType())])
+
+    def one(tests: TestItems) -> DataFrame:
+        shared = documents.sparkSession.sparkContext.broadcast(tests)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = shared.value
+            for batch in shards_of(batches, 1):
+                shard = Shard(texts_of(batch.column(1)), t)
+                hit = np.flatnonzero(shard.length >= t.width)
+                first = bound(shard.numbers, shard.order, t.numbers, t.start[hit], shard.length[hit], False)
+                last = bound(shard.numbers, shard.order, t.numbers, t.start[hit], shard.length[hit], True)
+                k = np.repeat(hit, last - first)
+                places = np.concatenate([np.zeros(0, np.int64), *(shard.order[a:b] for a, b in zip(first, last, strict=True))])
+                docs = shard.text_of(places)
+                ids = [None if t.ids[i] is None else str(t.ids[i]) for i in t.item[k].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(t.place[k].astype(np.int32)), pa.array(shard.length[k].astype(np.int32)), batch.column(0).take(pa.array(docs)), pa.array((places - shard.begin[docs]).astype(np.int32))], schema.names)
+
+        return docs.mapInArrow(run, schema)
+
+    found = None
+    for tests in test_blocks(benchmark, item_col, item_text_col, window, block_words):
+        found = one(tests) if found is None else found.unionByName(one(tests))
+    if found is None:
+        found = documents.sparkSession.createDataFrame([], schema)
+    best = found.groupBy("item", "item_place").agg(F.min(F.struct((-F.col("length")).alias("minus"), "id", "place")).alias("b"))
+    return best.select(F.col("item").cast(items).alias(item_col), "item_place", (-F.col("b.minus")).alias("length"), F.col("b.id").alias(id_col), F.col("b.place").alias("place"))
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents, all columns kept, without those that are contaminated (hits of a twentieth of the words or more).
 
-    In one pass while the benchmark fits one block; else by the general way and a join on id and text.
+    In one pass while the benchmark fits one block; else by the general way and a join on a number of the written row.
     """
     spark = documents.sparkSession
-    if not _block_count(benchmark, "text", BLOCK_WORDS):
-        key = lambda d: d.withColumn("__text", F.xxhash64(text_col))
-        numbered = materialize(key(documents).withColumn("__row", F.monotonically_increasing_id()), "decontaminate")
-        found = find_contamination(numbered.select(F.col("__row").alias("doc_id"), F.col(text_col).alias("text")), benchmark, window=window)
-        bad = found.filter(f"{N_HIT} > 0 and 20 * {N_HIT} >= n_words").select(F.col("doc_id").alias("__row"))
-        return numbered.join(bad, "__row", "left_anti").select(*documents.columns)
-    shared = spark.sparkContext.broadcast(next(test_blocks(benchmark, "item_id", "text", window, 1 << 60), None) or TestSuffixes([], window))
+    if not _block_count(benchmark, "text", block_words):
+        row = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
+        numbered = materialize(documents.select(row.alias("doc"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")), "decontaminate")
+        found = find_contamination(numbered, benchmark, "row", "text", window=window, block_words=block_words)
+        bad = found.filter(f"{N_HIT} > 0 and 20 * {N_HIT} >= n_words").select("row")
+        return numbered.join(bad, "row", "left_anti").select("doc.*")
+    shared = spark.sparkContext.broadcast(next(test_blocks(benchmark, "item_id", "text", window, 1 << 60), None) or TestItems([], window))
     at = documents.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, SHARD_ROWS):
-            found = scan(pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], ["a", "b"]), shared.value)
+        for batch in shards_of(batches, at):
+            found = scan(texts_of(batch.column(at)), shared.value)
             hits = [(sum(b - a for a, b in merged(r)), n) for n, r, _ in found]
             yield batch.filter(pa.array([not (h and 20 * h >= n) for h, n in hits], pa.bool_()))
 

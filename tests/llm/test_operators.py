@@ -304,6 +304,39 @@ def test_op6_hits_and_items(spark, docs, rows, none):
     assert contamination.decontaminate(docs, bench.filter("false")).count() == len(rows)
 
 
+def test_op6_suffix_array_and_longest_matches(spark, docs, rows):
+    r = random.Random(6)
+    for n, shortest in ((300, 1), (300, 4), (5, 9)):
+        numbers = np.array([*r.choices((0, 1, 1, 2, 3), k=n), 0])
+        runs = lambda p: numbers[p : p + list(numbers[p:]).index(0)].tolist()  # noqa: B023, E731
+        order = contamination.suffix_array(numbers, shortest).tolist()
+        assert [runs(p) for p in order] == sorted(map(runs, order))
+        begin = lambda p: p - list(numbers[:p][::-1]).index(0) if 0 in numbers[:p] else 0  # noqa: B023, E731
+        assert set(order) == {p for p in range(n) if numbers[p] and len(runs(begin(p))) >= shortest}
+    ws = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(ASCII))
+    items = [(1, rows[3][1]), (2, " ".join(rows[12][1].split()[:16]) + " nowhere at all"), (3, " ".join(rows[20][1].split()[:2]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {}
+    for i, t in items:
+        w = ws(t)
+        for p in range(len(w)):
+            best = (0, None, None)
+            for d, text, *_ in rows:
+                x = ws(text) if len(text or "") < 5000 else []
+                for a in range(len(x)):
+                    n = 0
+                    while p + n < len(w) and a + n < len(x) and w[p + n] == x[a + n]:
+                        n += 1
+                    best = min(best, (-n, (d is not None, d or 0), a)) if best[1] else (-n, (d is not None, d or 0), a)
+            if -best[0] >= min(13, len(w)):
+                want[i, p] = (-best[0], best[1][1] if best[1][0] else None, best[2])
+    for limit in (contamination.BLOCK_WORDS, 40):
+        got = {(r.item_id, r.item_place): (r.length, r.doc_id, r.place) for r in contamination.longest_matches(docs.filter("length(text) < 5000"), bench, block_words=limit).collect()}
+        assert got == {k: v for k, v in want.items()}
+    clash = docs.withColumns({"row": docs.doc_id, "doc": docs.doc_id})
+    assert sorted(map(str, contamination.decontaminate(clash, bench, block_words=40).collect())) == sorted(map(str, contamination.decontaminate(clash, bench).collect()))
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 8, 97, 1000, 4096])
 def test_op7_permutation(n):
     p = sharding.permute(np.arange(n), n)
