@@ -44,6 +44,7 @@ PATTERNS = {
     "jwt": re.compile(rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*"),
     "pem": re.compile(rb"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----"),
 }
+JWT_PART = re.compile(rb"[A-Za-z0-9_-]*")
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 BASE62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -130,12 +131,16 @@ def find_spans(text: bytes, aho) -> list[tuple[int, int, str]]:
         hits.setdefault(kind, []).append(end - n + 1)
     out = []
     for kind, starts in hits.items():
-        free = 0
+        free = bare = 0
         for at in sorted(starts):
-            if at >= free and (m := PATTERNS[kind].match(text, at)):
+            if at < max(free, bare):
+                continue
+            if m := PATTERNS[kind].match(text, at):
                 free = m.end()
                 if valid(kind, m):
                     out.append((m.start(), m.end(), kind))
+            elif kind == "jwt" and text.startswith(b"eyJ", at):
+                bare = JWT_PART.match(text, at).end()  # what failed after this run fails for every hit inside it
     m = None
     for at, last in hex_places(text):
         # the next match is kept from place to place, so no part of a text is searched twice
