@@ -6,7 +6,8 @@ for others of the same group; training minimises the logistic loss, an L1 penalt
 score under those swaps, so that neutral mentions of a group don't move the score.
 
 The classifier is fitted on a bounded sample of labelled rows (SAMPLE_ROWS, taken by a hash of the id); every
-text is scored, whole.  Labels of rows whose crc32(id as text) mod 3 is 1 are never read by the fit.
+text is scored, whole.  Features that stand in fewer than LEAST_TEXTS or more than a third of the sample's different
+texts get no weight; copies of a text count as one there, so a group of copies, however large, keeps its terms.  Labels of rows whose crc32(id as text) mod 3 is 1 are never read by the fit.
 
 Defined results: null and empty texts score the model's intercept; null labels are not used; a label for a missing
 document is not used; repeated label rows count as often as they occur; with no labels the score is 0.5; an empty
@@ -26,7 +27,8 @@ from .common import pieces, texts_of
 
 BITS = 20
 SAMPLE_ROWS = 12_000
-SAMPLE_BYTES = 200_000
+#: Features in fewer different texts, or in more than a third of them, get no weight.
+LEAST_TEXTS = 3
 L1 = 0.022  # divided by the root of the number of rows
 SWAP_WEIGHT = 4.0
 ROUNDS = 100
@@ -46,7 +48,6 @@ def swaps_of(groups: Iterable[str]) -> dict[bytes, bytes]:
     return {a.encode(): b.encode() for g in groups for a, b in zip(g.split(), (*g.split()[1:], g.split()[0]), strict=True)}
 
 
-
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -92,8 +93,10 @@ def fit(rows: list[tuple[int, bytes, bytes, bytes]]) -> tuple[np.ndarray, float]
     rows = sorted(rows)  # the result doesn't depend on the order in which rows came
     read = lambda k: [np.frombuffer(r[k], np.uint32).astype(np.int64) for r in rows]
     has, lost, gained, n = read(1), read(2), read(3), len(rows)
+    texts = sorted({r[1] for r in rows})  # a group of copies counts as one text, so its terms aren't taken for common ones
+    df = np.bincount(np.concatenate([np.frombuffer(t, np.uint32) for t in texts]), minlength=1 << BITS)
+    used = np.flatnonzero((df >= max(LEAST_TEXTS, len(texts) // 2500)) & (df <= max(len(texts) // 3, LEAST_TEXTS)))
     df = np.bincount(np.concatenate(has), minlength=1 << BITS)
-    used = np.flatnonzero((df >= max(3, n // 2500)) & (df <= max(n // 3, 3)))
     slot = np.full(1 << BITS, -1)
     slot[used] = np.arange(len(used))
     pick = lambda parts: [(s := slot[p])[s >= 0] for p in parts]
@@ -120,7 +123,7 @@ def fit(rows: list[tuple[int, bytes, bytes, bytes]]) -> tuple[np.ndarray, float]
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int, groups: Iterable[str] = IDENTITY_GROUPS) -> list:
-    """At most about sample_rows labelled rows, as features (texts beyond SAMPLE_BYTES are left out of the fit)."""
+    """At most about sample_rows labelled rows, as features."""
     swaps = swaps_of(groups)
     usable = labels.filter((F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1) & F.col(label_col).isNotNull())
     order = F.pmod(F.xxhash64(F.col(id_col), F.lit(10)), F.lit(1 << 30))
@@ -128,7 +131,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, id_col: str, text_col
     if total > sample_rows:
         usable = usable.filter(order < int((1 << 30) * sample_rows / total))
     usable = usable.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
-    texts = documents.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).filter(F.octet_length("t") <= SAMPLE_BYTES)
+    texts = documents.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     joined = texts.join(F.broadcast(usable), "i").select("y", "t")  # bounded: two numbers for each sampled row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,10 @@
 """Operators on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns, against brute force."""
 
+import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -241,6 +243,24 @@ def test_op3_checksums():
     assert [s[2] for s in secrets.find_spans(good + b" " + bad, secrets.automaton())] == ["github"]
 
 
+def test_op3_planted_tokens_and_long_runs():
+    part = lambda b: base64.urlsafe_b64encode(b).rstrip(b"=")
+    jwt = part(b'{"alg":"none"}') + b"." + part(b'{"sub":1}') + b".sig"
+    key = base64.b64encode(b"\x30\x82\x01\x00" + b"k" * 256)
+    pem = b"-----BEGIN PRIVATE KEY-----\n" + key + b"\n-----END PRIVATE KEY-----"
+    npm = b"npm_" + b"B" * 30 + secrets.base62_crc(b"B" * 30)
+    good = {"jwt": jwt, "pem": pem, "npm": npm}
+    bad = [jwt.replace(b"eyJ", b"eyJ!", 1), part(b"{no}") + b"." + part(b"{}") + b".x", pem.replace(b"k"[:0] + key[:8], key[4:8]), npm[:-1] + b"_", b"npm_" + b"B" * 36]
+    aho = secrets.automaton()
+    for kind, token in good.items():
+        assert [s for s in secrets.find_spans(b"x " + token + b" y", aho) if s[2] == kind] == [(2, 2 + len(token), kind)]
+    for token in bad:
+        assert not [s for s in secrets.find_spans(token, aho) if s[2] in good], token
+    assert [s[2] for s in secrets.find_spans(b"eyJ" * 9 + b" EYJ" + jwt, aho)] == ["jwt"]
+    began = time.time()
+    assert secrets.find_spans(b"eyJ" * 300_000, aho) == [] and time.time() - began < 5
+
+
 def test_op4_counts(spark, docs, rows, none):
     tokens = [b"a", b"b", b"ab", b"abc", b"bcd", b" ", b" a", b"cde", b"c", b"de", b"abcdef", b"bcdefg", b"d", b"e"]
     auto = token_counts.Automaton(tokens)
@@ -483,6 +503,64 @@ def test_op10_learns_and_ignores_identity(spark):
     assert toxicity.score_toxicity(docs.filter("false"), labels).count() == 0
 
 
+def test_op10_swap_penalty_lowers_neutral_mentions(spark, monkeypatch):
+    """Without the penalty, identity terms that go with toxic labels carry a score; with it, neutral mentions are let be."""
+    r = random.Random(8)
+    plain = ["".join(r.choices("abcdefgh", k=4)) for _ in range(60)]
+    data = []
+    for k in range(1200):
+        bad = k % 3 == 0
+        w = r.choices(plain, k=6)
+        if r.random() < (0.7 if bad else 0.1):
+            w[0] = r.choice(("muslim", "woman"))
+        if bad and r.random() < 0.5:
+            w[1] = "vileterm"
+        data.append((k, " ".join(w), int(bad)))
+    df = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    rows = [tuple(x) for x in toxicity.training_rows(df.drop("toxic"), df.drop("text"), "doc_id", "text", "toxic", 10_000)]
+    flagged = {}
+    for weight in (0.0, 4.0):
+        monkeypatch.setattr(toxicity, "SWAP_WEIGHT", weight)
+        w, b = toxicity.fit(rows)
+        score = lambda t: b + w[toxicity.features(toxicity.words_of(t.encode()))].sum()  # noqa: B023, E731
+        neutral = [t for i, t, y in data if not y and zlib.crc32(str(i).encode()) % 3 == 1 and {"muslim", "woman"} & set(t.split())]
+        flagged[weight] = sum(score(t) > 0 for t in neutral), len(neutral)
+        assert score("vileterm " + " ".join(plain[:4])) > 0
+    assert flagged[0.0][1] > 15 and flagged[0.0][0] > flagged[0.0][1] // 2 and flagged[4.0][0] <= flagged[0.0][0] // 3
+
+
+def test_op10_loss_is_near_its_least():
+    """The fitted weights against small steps of every weight in both directions, on the stated loss."""
+    r = np.random.default_rng(3)
+    rows = [(int(y), *(np.array(sorted(f), np.uint32).tobytes() for f in ({*(r.choice(8, 3) + 8 * y), 20 + k % 3}, {20} if k % 3 == 0 else set(), {21} if k % 3 == 0 else set()))) for k, y in enumerate(r.integers(0, 2, 120))]
+    w, b = toxicity.fit(rows)
+
+    def loss(w):
+        x = [np.frombuffer(f, np.uint32) for _, f, _, _ in rows]
+        d = [np.frombuffer(f[2], np.uint32) for f in rows], [np.frombuffer(f[3], np.uint32) for f in rows]
+        z, y = np.array([b + w[f].sum() for f in x]), np.array([f[0] for f in rows])
+        swap = [(w[p].sum() - w[q].sum()) ** 2 for p, q in zip(*d) if len(p)]
+        return np.mean(np.logaddexp(0, z) - y * z) + toxicity.SWAP_WEIGHT * np.mean(swap) + toxicity.L1 / np.sqrt(len(rows)) * np.abs(w).sum()
+
+    best = loss(w)
+    for f in range(24):
+        for step in (-0.3, 0.3):
+            v = w.copy()
+            v[f] += step
+            assert f in (23,) or loss(v) > best - 0.02, f
+
+
+def test_op10_group_of_copies_keeps_its_terms():
+    rows = []
+    for k in range(300):
+        bad = k % 2
+        kind = k % 8 if bad else k
+        words = {b"tree%d" % (kind % 40), b"lake%d" % (kind % 30), b"word%d" % (kind % 25)} | ({b"vile", b"slur"} if bad else set())
+        rows.append((bad, np.array(toxicity.features(words), np.uint32).tobytes(), b"", b""))
+    w, b = toxicity.fit(rows)
+    assert w[toxicity.features({b"vile"})].sum() > 1  # half of the rows hold it, but they are four texts
+
+
 def test_op10_identity_groups_of_the_caller(spark):
     docs, labels = toxic_tables(spark)
     rows = lambda groups: toxicity.training_rows(docs, labels, "doc_id", "text", "toxic", 10_000, groups)
