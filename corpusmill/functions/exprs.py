@@ -19,6 +19,8 @@ FAMILIES = (
     ("law_library_guide", r"^(?:lawlib|research)-(.+)$", "secondary", None, None, "Connecticut Judicial Branch Law Libraries"),
 )
 JURISDICTION = "Connecticut"
+#: Names of the state whose collection keeps its own name.
+FIRST_STATE = ("ct", "connecticut", "ct-divorce")
 
 
 def null_if_empty(c: Column) -> Column:
@@ -88,8 +90,19 @@ def section_title(title: Column) -> Column:
     return F.trim(F.regexp_replace(after, r"\s*\(\d{4}\)\s*$", ""))
 
 
+def cleaned(c: Column) -> Column:
+    """White space normalised; null if nothing is left."""
+    return null_if_empty(normalize_space(c))
+
+
 def strip_label(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"^[^:]*:\s*", ""))
+    """`Label: value` as its value; null if nothing is left."""
+    return null_if_empty(trimmed(F.regexp_replace(cleaned(c), r"^[^:]*:", "")))
+
+
+def docket_description(label: Column, *extras: Column) -> Column:
+    """The label (`document` if it is empty) and the extras that aren't empty, joined by dashes."""
+    return F.concat_ws(" — ", F.coalesce(cleaned(label), F.lit("document")), *map(cleaned, extras))
 
 
 def s3_bucket(uri: Column) -> Column:
@@ -115,15 +128,26 @@ def safe_filename(label: Column) -> Column:
 def safe_folder(path: Column) -> Column:
     """A path without empty or `.` parts; null if any part is `..`."""
     parts = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
-    return F.when(~F.exists(parts, lambda p: F.trim(p) == ".."), F.array_join(F.filter(F.transform(parts, F.trim), lambda p: ~p.isin("", ".")), "/"))
+    return F.when(~F.exists(parts, lambda p: F.trim(p) == ".."), F.array_join(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: ~p.isin("", ".")), "/"))
 
 
 def query_value(url: Column, name: str) -> Column:
     return null_if_empty(F.regexp_extract(url, rf"[?&]{name}=([^&#]*)", 1))
 
 
+def entry_number(number: Column, href: Column) -> Column:
+    """A docket entry's number, else the DocumentNo of its link, else empty."""
+    return F.coalesce(cleaned(number), null_if_empty(F.regexp_extract(href, r"DocumentNo=([^&]*)", 1)), F.lit(""))
+
+
+def suggested_extension(disposition: Column) -> Column:
+    """The suffix of the file name that a Content-Disposition header gives; null without one."""
+    name = F.regexp_extract(disposition, r"""filename\*?=(?:UTF-8''|")?([^";]+)""", 1)
+    return null_if_empty(F.regexp_extract(F.regexp_extract(name, r"([^/]*)$", 1), r"(?<=[^.])(\.[^.\s]+)\s*$", 1))
+
+
 def looks_like_pdf(head: Column, content_type: Column, disposition: Column) -> Column:
-    return (F.substring(head, 1, 4) == F.lit(b"%PDF")) | F.lower(F.coalesce(content_type, F.lit(""))).contains("pdf") | F.lower(F.coalesce(disposition, F.lit(""))).contains(".pdf")
+    return (F.substring(head, 1, 4) == F.lit(b"%PDF")) | F.coalesce(content_type, F.lit("")).contains("application/pdf") | F.lower(F.coalesce(disposition, F.lit(""))).contains(".pdf")
 
 
 def needs_ocr(page_text: Column) -> Column:
@@ -138,6 +162,13 @@ def collection_name(base: Column, model: Column) -> Column:
     return F.concat(base, F.lit("__"), slugify(model))
 
 
+def state_collection(state: Column, model: Column, first: str = "ct-divorce") -> Column:
+    """The collection of a state: of none or of an alias of the first one, that one's own name; else `<slug>-law`."""
+    slug = slugify(state)
+    base = F.when(state.isNull() | slug.isin(*FIRST_STATE), F.lit(first)).otherwise(F.concat(slug, F.lit("-law")))
+    return collection_name(base, model)
+
+
 def repealed(heading: Column) -> Column:
     return F.coalesce(heading.rlike("(?i)repealed|renumbered"), F.lit(False)) | F.coalesce(F.ltrim(heading).startswith("["), F.lit(False))
 
@@ -156,7 +187,7 @@ def path_metadata(path: Column, text: Column) -> dict[str, Column]:
     """Metadata of a source file by its name: the first family whose pattern fits, else a case file."""
     name = F.regexp_extract(path, r"([^/]*)$", 1)
     stem = F.lower(F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""))
-    first_line = F.get(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\n|\r"), trimmed), lambda x: x != ""), 0)
+    first_line = null_if_empty(trimmed(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?U)\A\s*(\S[^\r\n]*)", 1)))
     out = {"source_type": F.lit("case_file"), "authority_level": F.lit("personal"), "citation": name, "title": name, "section": F.lit(None).cast("string"), "document_id": F.lit(None).cast("string"), "jurisdiction": F.lit(None).cast("string"), "issuing_body": F.lit(None).cast("string")}
     for kind, pattern, authority, citation, title, body in reversed(FAMILIES):
         x = F.regexp_extract(stem, pattern, 1)

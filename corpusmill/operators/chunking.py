@@ -20,6 +20,11 @@ SECTIONED = ("statute", "practice_book")
 CITATIONS = {"statute": "Conn. Gen. Stat. § ", "practice_book": "Conn. Practice Book § "}
 
 
+def citation_of(template: Column, section: Column) -> Column:
+    """A citation template with its `{section}` filled in."""
+    return F.replace(template, F.lit("{section}"), section)
+
+
 def window_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
     """Fixed windows of a text, as array: the splitter's result for text without separators."""
     starts = F.sequence(F.lit(1), F.greatest(F.length(text) - overlap, F.lit(1)), F.lit(size - overlap))

@@ -79,6 +79,5 @@ def robots_allowed(urls: DataFrame, rules: DataFrame, path: str = "path") -> Dat
     if not lengths:
         return urls
     prefixes = F.filter(F.array(*(F.when(F.length(path) >= n, F.left(path, F.lit(n))) for n in sorted(lengths))), lambda p: p.isNotNull())
-    keyed = urls.withColumn("__id", F.monotonically_increasing_id())
-    bad = keyed.select("__id", F.explode(prefixes).alias("disallow")).join(live, "disallow").select("__id").distinct()
-    return keyed.join(bad, "__id", "left_anti").drop("__id")
+    bad = urls.select(F.col(path).alias("__p"), F.explode(prefixes).alias("disallow")).join(live, "disallow").select("__p").distinct()
+    return urls.join(bad, F.col(path) == F.col("__p"), "left_anti")

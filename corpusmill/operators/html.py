@@ -119,17 +119,31 @@ def extract_by_rules(pages: DataFrame, rules: DataFrame, key: str = "state") ->
     return joined.withColumn("body", F.when(F.col("note_pattern").isNull(), body).otherwise(F.trim(F.regexp_replace(body, F.col("note_pattern"), "")))).drop(*rules.drop(key).columns)
 
 
-def trim_index(text: Column, heading: str = r"(?m)^Sec\. ") -> Column:
-    """Cut at the first dotted-leader line after the last heading."""
-    last = F.regexp_extract(text, rf"(?s)^(.*{heading.replace('(?m)^', '(?:^|(?<=\n))')})", 1)
-    tail = F.substr(text, F.length(last) + 1)
-    at = F.regexp_instr(tail, F.lit(r"(?m)^.*\.{4,}\s*\d+\s*$"))
-    return F.when((last != "") & (at > 0), F.rtrim(F.concat(last, F.left(tail, at - 1)))).otherwise(text)
+def trim_index(text: Column) -> Column:
+    """Cut at the first dotted-leader line (five or more of dot and white space within its first 80 characters) from the
+    last section heading on."""
+    before = F.regexp_extract(text, r"(?s)\A(.*(?:\A|\n))Sec\. [0-9A-Za-z\-]+\.", 1)
+    there = text.rlike(r"(?m)^Sec\. [0-9A-Za-z\-]+\.")
+    tail = F.substr(text, F.length(before) + 1)
+    at = F.regexp_instr(tail, F.lit(r"(?m)^.{0,80}(?:\.\s){5,}"))
+    return F.when(there & (at > 0), F.concat(F.regexp_replace(F.concat(before, F.left(tail, at - 1)), r"(?U)\s+\z", ""), F.lit("\n"))).otherwise(text)
 
 
 def strip_scaffold(text: Column) -> Column:
-    """Page text without page-number lines, runs of blank lines made one."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?m)^\s*(?:Page )?\d+(?: of \d+)?\s*$", ""), r"\n{3,}", "\n\n"))
+    """Converted page text without its file title and page headings, runs of blank lines made one."""
+    lines = F.filter(F.split(text, r"\r\n|\n|\r"), lambda x: ~x.rlike(r"^(?:#\s+\S*\.pdf|##\s+Page\s+\d+)\s*$"))
+    return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"), r"(?U)\A\s+|\s+\z", "")
+
+
+def class_overlap(classes: Column, *wanted: str) -> Column:
+    """A node's class attribute holds any of the wanted classes."""
+    return F.arrays_overlap(F.split(F.coalesce(classes, F.lit("")), r"\s+"), F.array(*map(F.lit, wanted)))
+
+
+def strip_note(text: Column, pattern: str) -> Column:
+    """Without the first match of a trailing note's pattern and all after it."""
+    at = F.regexp_instr(text, F.lit(pattern))
+    return F.when(at > 0, F.regexp_replace(F.left(text, at - 1), r"\s+\z", "")).otherwise(text)
 
 
 def slice_between(text: Column, start: str, end: str) -> Column:

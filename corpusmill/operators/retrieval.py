@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+#: Passages for a question, and what is said where there is none.
 TOP = 6
 NO_HITS = "No passages found in the corpus for that query."
 QUERY_BLOCK = 512
@@ -27,12 +28,16 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP, query_filter: st
 
     queries(query_id, embedding[, query_filter]) go in blocks of QUERY_BLOCK: each block is broadcast, every task
     keeps k of its own rows a query (matrix product on Arrow batches), and one window takes the best of those.
-    With query_filter, a query sees only vectors whose column of that name equals its own (null: all).
+    With query_filter, a query sees only vectors whose column of that name equals its own (null: all).  Ids are integers
+    or strings; a null vector is near nothing.
     """
     spark, out = vectors.sparkSession, None
     wanted = queries.select("query_id", "embedding", (F.col(query_filter) if query_filter else F.lit(None)).cast("string").alias("f")).orderBy("query_id")
     narrow = vectors.select("id", "embedding", (F.col(query_filter) if query_filter else F.lit(None)).cast("string").alias("f"))
     schema = T.StructType([queries.schema["query_id"], narrow.schema["id"], T.StructField("score", T.DoubleType())])
+    kind = lambda f: {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16()}.get(f.dataType.simpleString(), pa.string())
+    kinds_out = [kind(schema[0]), kind(schema[1]), pa.float64()]
+    narrow, wanted = narrow.filter("embedding is not null"), wanted.filter("embedding is not null")
 
     def search(rows: list) -> DataFrame:
         ids, matrix = [r.query_id for r in rows], np.array([r.embedding for r in rows], np.float64)
@@ -54,11 +59,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP, query_filter: st
                     found = [(-s[i], names[i]) for i in near.tolist() if s[i] > -np.inf]
                     best[q] = sorted(best[q] + found)[:k]
             flat = [(ids[q], name, -s) for q, b in enumerate(best) for s, name in b]
-            yield pa.RecordBatch.from_pydict({"query_id": [x[0] for x in flat], "id": [x[1] for x in flat], "score": [float(x[2]) for x in flat]}, pa.schema([("query_id", pa.int64() if flat and isinstance(flat[0][0], int) else pa.string()), ("id", pa.int64() if flat and isinstance(flat[0][1], int) else pa.string()), ("score", pa.float64())])) if flat else _empty()
-
-        def _empty() -> pa.RecordBatch:
-            kind = lambda f: pa.int64() if isinstance(f.dataType, T.LongType) else pa.int32() if isinstance(f.dataType, T.IntegerType) else pa.string()
-            return pa.RecordBatch.from_arrays([pa.array([], kind(schema[0])), pa.array([], kind(schema[1])), pa.array([], pa.float64())], ["query_id", "id", "score"])
+            columns = [[x[0] for x in flat], [x[1] for x in flat], [float(x[2]) for x in flat]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds_out, strict=True)], ["query_id", "id", "score"])
 
         return narrow.mapInArrow(run, schema)
 
@@ -94,6 +96,16 @@ def sources(hits: DataFrame) -> DataFrame:
     return hits.withColumn("__r", F.row_number().over(first)).filter("__r = 1").drop("__r")
 
 
+def retrieve(questions: DataFrame, stored: DataFrame, model: Callable[[list[str]], list[list[float]]], dim: int, k: int = TOP, filter_col: str | None = None) -> DataFrame:
+    """From questions (query_id, question[, filter_col]) to passages in one call: embed, search, assemble.
+
+    stored(id, embedding, text, citation, source_type, source_url); its vectors must have dim numbers.
+    """
+    asked = embed(questions.withColumnRenamed("question", "text"), model).drop("text")
+    near = top_k(asked, check_dimension(stored, dim), k, filter_col)
+    return context(near.join(stored.drop("embedding"), "id"), questions)
+
+
 def embed(df: DataFrame, model: Callable[[list[str]], list[list[float]]], text_col: str = "text") -> DataFrame:
     """df with `embedding`, a batch of texts at a time by any function that gives vectors."""
     at = df.columns.index(text_col)

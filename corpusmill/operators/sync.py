@@ -76,6 +76,34 @@ def write_touched(df: DataFrame, path: str, partition: str = "collection") -> No
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
+def drop_collection(stored: DataFrame, collection: str) -> DataFrame:
+    """All but one collection (write_touched() doesn't remove a partition that has no rows left)."""
+    return stored.filter(~F.col("collection").eqNullSafe(F.lit(collection)))
+
+
+def matched_rows(stored: DataFrame, stale: DataFrame, keys: list[str]) -> DataFrame:
+    """How many rows prune() takes away, by the first key."""
+    return stored.join(stale.select(*keys).distinct(), keys, "left_semi").groupBy(keys[0]).agg(F.count(F.lit(1)).alias("deleted"))
+
+
+def manifest_documents(records: DataFrame, key: str, kind: str, statuses: list[str]) -> DataFrame:
+    """One JSON document a key: the counts of each kind by status, with a total."""
+    counted = status_counts(records.withColumn("__kk", F.struct(key, kind)), "__kk", statuses).select(F.col(f"__kk.{key}").alias(key), F.col(f"__kk.{kind}").alias("kind"), *(F.col(f"n_{s}").alias(s) for s in statuses), "total")
+    counts = F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", F.struct(*statuses, "total").alias("n")))))  # a key has few kinds
+    return counted.groupBy(key).agg(counts.alias("counts")).select(key, F.to_json(F.struct(F.col(key), "counts")).alias("manifest"))
+
+
+def latest_states(states: DataFrame, key: str, at: str) -> DataFrame:
+    """The last state of each key; what fails to parse has none.  append_state() adds one."""
+    return states.groupBy(key).agg(F.max_by(F.struct(*(c for c in states.columns if c != key)), F.col(at)).alias("s")).select(key, "s.*")
+
+
+def append_state(done: DataFrame, path: str, dry_run: bool = False) -> None:
+    """A state for each case ingested, once; none on a dry run."""
+    if not dry_run:
+        done.write.mode("append").parquet(path)
+
+
 def upsert_users(old: DataFrame, seen: DataFrame, admins: DataFrame) -> DataFrame:
     """Earliest creation, latest everything else; the flag follows the allow-list at each sight."""
     both = old.select("sub", "email", "created_at", "last_seen_at").unionByName(seen.select("sub", "email", F.col("seen_at").alias("created_at"), F.col("seen_at").alias("last_seen_at")))
@@ -102,3 +130,27 @@ def flatten_docket(docket: DataFrame) -> DataFrame:
     one = docs.select("crn", "d.href", "d.downloaded_path")
     two = docs.select("crn", F.explode_outer("d.attachments").alias("a")).select("crn", "a.href", "a.downloaded_path")
     return one.unionByName(two).filter("href is not null")
+
+
+def previous_downloads(links: DataFrame, docket: DataFrame) -> DataFrame:
+    """Links with the path that an earlier manifest has for their href; the last entry that has one wins."""
+    known = flatten_docket(docket).filter(F.coalesce("downloaded_path", F.lit("")) != "").groupBy("href").agg(F.max("downloaded_path").alias("downloaded_path"))
+    return links.join(known, "href", "left")
+
+
+def docket_order(docket: DataFrame) -> DataFrame:
+    """Entries with their place in the docket, from 1."""
+    return docket.select("crn", F.posexplode("docket_entries").alias("__p", "entry")).select("crn", (F.col("__p") + 1).alias("order"), "entry.*")
+
+
+def newest_first(rows: DataFrame, at: str, *ties: str) -> DataFrame:
+    return rows.orderBy(F.desc(at), *ties)
+
+
+def section_records(sections: DataFrame, existing: DataFrame, force: bool = False) -> DataFrame:
+    """section_status() with the record of each section: cleaned citation and title, and the document to write."""
+    from ..functions.exprs import clean_meta_value, front_matter_document
+
+    out = section_status(sections, existing, force).withColumns({c: clean_meta_value(F.col(c)) for c in ("citation", "title")})
+    fields = {c: F.col(c) for c in ("citation", "title", "section", "jurisdiction", "source_url") if c in out.columns}
+    return out.withColumn("document", F.when(F.col("status") == "written", front_matter_document(fields, F.col("body"))))

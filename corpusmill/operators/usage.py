@@ -70,6 +70,12 @@ def daily(events: DataFrame) -> DataFrame:
     return events.groupBy(F.to_date("created_at").alias("day")).agg(*measures()).orderBy("day")
 
 
+def in_project(keys: DataFrame, projects: DataFrame, user: str) -> DataFrame:
+    """Keys that lie below `projects/<id>/` of a project that the user owns."""
+    owned = projects.filter(F.col("owner_sub") == user).select(F.concat(F.lit("projects/"), F.col("id").cast("string")).alias("__p")).distinct()
+    return keys.withColumn("__p", F.regexp_extract("key", r"^(projects/[^/]+)/", 1)).join(owned, "__p", "left_semi").drop("__p")
+
+
 def attribute_projects(events: DataFrame, projects: DataFrame) -> DataFrame:
     """project_id only where the user owns that project."""
     owned = projects.select(F.col("id").alias("__p"), F.col("owner_sub").alias("__o"))

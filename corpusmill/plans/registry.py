@@ -129,12 +129,22 @@ def chunk_ids(spark, sf_dir):
     return d.select("doc_id", "chunk_index", X.chunk_id(F.col("source"), F.col("chunk_index"), F.col("chunk")).alias("id"))
 
 
+#: Names of the documents as files: six families in turn, and one that is of none.
+NAMES = ("cgs-46b-", "pb-25-", "case-", "form-jd-", "guide-", "lawlib-", "notes-")
+
+
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.concat(F.lit("corpus/case-"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    name = F.element_at(F.array(*map(F.lit, NAMES)), (F.col("doc_id") % len(NAMES) + 1).cast("int"))
+    path = F.concat(F.lit("corpus/"), name, F.col("doc_id").cast("string"), F.lit(".txt"))
     d = table(spark, sf_dir, "documents").select(path.alias("source_path"), "text")
     return d.select("*", *(v.alias(k) for k, v in X.path_metadata(F.col("source_path"), F.col("text")).items()))
 
 
+_NAME = "list_extract([" + ", ".join(f"'{n}'" for n in NAMES) + "], CAST(doc_id % 7 + 1 AS INTEGER))"
+_PATH = f"'corpus/' || {_NAME} || doc_id || '.txt'"
+_FIRST = r"nullif(regexp_replace(regexp_extract(text, '^\s*([^\s][^\r\n]*)', 1), '\s+$', ''), '')"
+
+
 @query()
 def chunk_recursive(spark, sf_dir):
     return chunking.chunks(document_files(spark, sf_dir)).select("source_path", "chunk_index", "id", "citation", "text")
@@ -146,9 +156,19 @@ def chunk_counts(spark, sf_dir):
     return chunking.chunk_counts(files, chunking.chunks(files))
 
 
-@query("""SELECT 'corpus/case-' || doc_id || '.txt' AS source_path, 'case' AS source_type, 'primary' AS authority_level, 'Connecticut' AS jurisdiction FROM documents""")
+def _by_family(*values: str) -> str:
+    return "CASE doc_id % 7 " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values)) + " END"
+
+
+@query(f"""SELECT {_PATH} AS source_path,
+  {_by_family("'statute'", "'practice_book'", "'case'", "'court_form'", "'court_guide'", "'law_library_guide'", "'case_file'")} AS source_type,
+  {_by_family("'primary'", "'court_rule'", "'primary'", "'court_published'", "'court_published'", "'secondary'", "'personal'")} AS authority_level,
+  {_by_family("'Conn. Gen. Stat. § 46b-' || doc_id", "'Conn. Practice Book § 25-' || doc_id", f"coalesce({_FIRST}, CAST(doc_id AS VARCHAR))", "'Conn. Judicial Branch Form JD-' || doc_id", "CAST(doc_id AS VARCHAR)", "CAST(doc_id AS VARCHAR)", "'notes-' || doc_id || '.txt'")} AS citation,
+  {_by_family("'CGS § 46b-' || doc_id", "'Practice Book § 25-' || doc_id", f"coalesce({_FIRST}, CAST(doc_id AS VARCHAR))", "'Jd ' || doc_id", "CAST(doc_id AS VARCHAR)", "CAST(doc_id AS VARCHAR)", "'notes-' || doc_id || '.txt'")} AS title,
+  {_by_family("'46b-' || doc_id", "'25-' || doc_id", "NULL", "NULL", "NULL", "NULL", "NULL")} AS section, CASE WHEN doc_id % 7 = 3 THEN 'JD-' || doc_id END AS document_id,
+  CASE WHEN doc_id % 7 < 6 THEN 'Connecticut' END AS jurisdiction FROM documents""")
 def path_metadata(spark, sf_dir):
-    return document_files(spark, sf_dir).select("source_path", "source_type", "authority_level", "jurisdiction")
+    return document_files(spark, sf_dir).select("source_path", "source_type", "authority_level", "citation", "title", "section", "document_id", "jurisdiction")
 
 
 @query("""
@@ -455,3 +475,6 @@ FROM (SELECT p_partkey, p_size, CAST(p_partkey AS VARCHAR) AS n FROM part)""")
 def section_recode(spark, sf_dir):
     n, pair = F.col("p_partkey").cast("string"), F.concat_ws("-", F.col("p_partkey") % 1000, "p_size")
     return table(spark, sf_dir, "part").select("p_partkey", scope.padded_number(n).alias("padded"), scope.title_number(n, "25").alias("titled"), scope.dotted_name(pair, "HRS").alias("named"))
+
+
+from . import registry_corpus  # noqa: E402, F401  its queries register themselves

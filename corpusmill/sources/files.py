@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-STATE = "slug string, name string, fetcher string, statutes array<struct<code_root string, citation_format string, title string, issuing_body string, base_path string, layout string>>, courts array<string>"
-S3_MANIFEST = "id string, bucket string, prefix string, last_pulled_at string, objects array<struct<key string, downloaded_path string, size bigint, etag string, last_modified string, sha256 string>>"
-PDF_MANIFEST = "documents array<struct<source_pdf string, source_sha256 string, markdown_path string, json_path string, page_count int, ocr_used boolean>>"
+FETCH = "slug string, url string, kind string, metadata map<string,string>"
+STATE = (
+    "slug string, name string, public_law_subdomain string, fetcher string, official_handler string, statutes array<struct<code_root string, citation_format string, title string, "
+    "issuing_body string, base_path string, layout string, section_prefix string, articles array<string>>>, "
+    f"forms array<struct<{FETCH.replace(' string', ': string').replace('metadata map', 'metadata: map')}>>, practice_rules array<struct<{FETCH.replace(' string', ': string').replace('metadata map', 'metadata: map')}>>, courtlistener_courts array<string>"
+)
+S3_MANIFEST = "id string, bucket string, prefix string, last_pulled_at string, counts map<string,bigint>, objects array<struct<key string, downloaded_path string, size bigint, etag string, last_modified string, sha256 string, downloaded_at string>>"
+PDF_MANIFEST = "documents array<struct<source_pdf string, source_sha256 string, markdown_path string, json_path string, page_count int, ocr_used boolean, converted_at string>>"
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
@@ -42,8 +48,27 @@ def manifest(spark: SparkSession, path: str, schema: str, rows: str) -> DataFram
 
 def states(spark: SparkSession, registry: dict) -> DataFrame:
     """The registry as a table, its key as slug."""
-    names = [f.split()[0] for f in ("slug", "name", "fetcher", "statutes", "courts")]
-    return spark.createDataFrame([tuple({**v, "slug": k}.get(n) for n in names) for k, v in registry.items()], STATE)
+    empty = spark.createDataFrame([], STATE)
+    known = {"fetcher": "public_law", "public_law_subdomain": "", "statutes": [], "forms": [], "practice_rules": [], "courtlistener_courts": []}
+    code = {"base_path": "/laws/", "layout": "ny_article"}
+    rows = []
+    for slug, given in registry.items():
+        row = {**known, **given, "slug": slug}
+        row["statutes"] = [{**code, **s} for s in row["statutes"]]
+        rows.append(tuple(row.get(n) for n in empty.columns))
+    return spark.createDataFrame(rows, empty.schema)
+
+
+def registry_file(path: str) -> dict:
+    """The `states` of a JSON registry file, or of a YAML one where a YAML reader is installed."""
+    with open(path, encoding="utf-8") as f:
+        if path.endswith(".json"):
+            return json.load(f)["states"]
+        try:
+            import yaml
+        except ModuleNotFoundError as e:
+            raise ModuleNotFoundError("reading a YAML registry needs a YAML package; give the registry as JSON") from e
+        return yaml.safe_load(f)["states"]
 
 
 def state_codes(registry: DataFrame) -> DataFrame:
@@ -78,6 +103,19 @@ def opinions(body: Column, most: int) -> Column:
     return F.slice(F.from_json(body, "results array<struct<caseName: string, citation: array<string>, absolute_url: string, plain_text: string, html: string, html_lawbox: string, html_columbia: string, html_with_citations: string>>")["results"], 1, most)
 
 
+def exploded_opinions(df: DataFrame, body: str, most: int) -> DataFrame:
+    """One row for each of the first `most` results of each payload: other columns, place, opinion."""
+    others = [c for c in df.columns if c != body]
+    return df.select(*others, F.posexplode(opinions(F.col(body), most)).alias("place", "opinion"))
+
+
+def preferred_root(files: DataFrame, roots: list[str], key: str = "id", root: str = "root") -> DataFrame:
+    """Of each key, the files of the first of the roots that has any; a key with none has none."""
+    place = F.array_position(F.array(*map(F.lit, roots)), F.col(root))
+    first = files.filter(place > 0).groupBy(key).agg(F.min(place).alias("__first"))
+    return files.join(first, key).filter(place == F.col("__first")).drop("__first")
+
+
 def opinion_text(o: Column) -> Column:
     """Plain text, else the first of the HTML fields that isn't empty."""
     filled = lambda c: F.when(F.trim(o[c]) != "", o[c])

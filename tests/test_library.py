@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 from corpusmill.functions import exprs as X
-from corpusmill.operators import chunking, frontier, guard, html, rollups, scope, sync, usage
+from corpusmill.operators import chunking, frontier, guard, html, ingest, retrieval, rollups, scope, sync, usage
 from corpusmill.plans import registry
+from corpusmill.sources import files as sources
 from corpusmill.sources.files import prices
 
 SMALL = "/root/testdata/sf0.001"
@@ -158,3 +159,61 @@ def test_stream_equals_batch(spark, tmp_path):
     q = daily_usage(event_files(spark, f"{tmp_path}/in", e.schema)).writeStream.outputMode("complete").format("memory").queryName("daily").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("daily").collect())) == sorted(map(tuple, e.groupBy(F.to_date("created_at").alias("day"), "model").agg(*usage.measures()).collect()))
+
+
+def test_registry_and_its_courts(spark):
+    r = sources.states(spark, {"ct": {"name": "Connecticut", "statutes": [{"code_root": "cgs", "citation_format": "CGS {section}"}], "courtlistener_courts": ["a", "b"]}, "ny": {"name": "New York"}})
+    assert sorted(map(tuple, scope.state_courts(r).collect()), key=repr) == [("ct", "a"), ("ct", "b"), ("ny", None)]
+    code = sources.state_codes(r).filter("slug = 'ct'").head()
+    assert (code.code_root, code.base_path, code.layout) == ("cgs", "/laws/", "ny_article")
+    asked = spark.createDataFrame([("New York",), ("CT",), ("zz",)], "state string")
+    assert [x.slug for x in sources.resolve_state(asked, r).orderBy("state").collect()] == ["ct", "ny", None]
+
+
+def test_index_trim_and_scaffold(spark):
+    t = "Sec. 1-1. A.\nbody\nSec. 86-2. Last.\nrule text\n1 . . . . . . . . . . .  1-3\nmore"
+    df = spark.createDataFrame([(t, "# a.pdf\n\n## Page 1\nx\n\n\n\n## Page 2\ny\n"), ("no heading\n1 . . . . . . 2", "12\n")], "t string, p string")
+    got = df.select(html.trim_index(df.t), html.strip_scaffold(df.p)).collect()
+    assert got[0][0] == "Sec. 1-1. A.\nbody\nSec. 86-2. Last.\nrule text\n" and got[1][0] == "no heading\n1 . . . . . . 2"
+    assert got[0][1] == "x\n\ny" and got[1][1] == "12"
+
+
+def test_front_matter_and_ingest(spark):
+    raw = spark.createDataFrame([("a/cgs-46b-1.txt", "---\ncitation: Other\nbogus: x\n---\nSec. 46b-1. T.\nbody"), ("a/notes.txt", None), ("a/x.txt", "\ufeff---\nsource_type: statute\n---\nSec. 1. A.\nx\nSec. 2. B.\ny")], "source_path string, text string")
+    m = {r.source_path: r for r in ingest.with_metadata(raw).collect()}
+    assert m["a/cgs-46b-1.txt"].citation == "Other" and m["a/cgs-46b-1.txt"].section == "46b-1" and m["a/notes.txt"].source_type == "case_file"
+    flat = ingest.flat(ingest.chunked(raw)).collect()
+    assert sorted(r.citation for r in flat) == ["Conn. Gen. Stat. § 1", "Conn. Gen. Stat. § 2", "Other"] and all(r.topic == "" for r in flat)
+    counts = {r.source_type: (r.n_files, r.n_chunks) for r in ingest.report(raw, ingest.chunked(raw)).collect()}
+    assert counts == {"statute": (2, 3), None: (1, 0)}
+
+
+def test_top_k_of_integers_nulls_and_other_sizes(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, None, "b"), (3, [0.0, 1.0], "c")], "id int, embedding array<float>, text string")
+    q = spark.createDataFrame([(7, [1.0, 0.0]), (8, None)], "query_id int, embedding array<float>")
+    assert [(r.query_id, r.id) for r in retrieval.top_k(q, v, 1).collect()] == [(7, 1)]
+    with pytest.raises(Exception, match="vectors of 3 numbers"):
+        retrieval.top_k(q, retrieval.check_dimension(v.filter("embedding is not null"), 3), 1).collect()
+    stored = v.filter("id <> 2").selectExpr("id", "embedding", "text", "'c' as citation", "'t' as source_type", "'u' as source_url")
+    asked = spark.createDataFrame([(1, "x")], "query_id int, question string")
+    assert "a" in retrieval.retrieve(asked, stored, lambda ts: [[1.0, 0.0] for _ in ts], 2, 1).head().passages
+
+
+def test_upkeep_writers(spark, tmp_path):
+    path = str(tmp_path / "states")
+    sync.append_state(spark.createDataFrame([("a", 1, "x")], "id string, at int, fp string"), path)
+    sync.append_state(spark.createDataFrame([("a", 2, "y")], "id string, at int, fp string"), path, dry_run=True)
+    sync.append_state(spark.createDataFrame([("a", 3, "z")], "id string, at int, fp string"), path)
+    assert sync.latest_states(spark.read.parquet(path), "id", "at").select("fp").collect()[0][0] == "z"
+    (tmp_path / "m.json").write_text('{"id": "x", "counts": {"new": 2}, "objects": [{"key": "k", "size": 3}]}')
+    assert [r.key for r in sources.manifest(spark, str(tmp_path / "m.json"), sources.S3_MANIFEST, "objects").collect()] == ["k"]
+    (tmp_path / "bad.json").write_text("{nope")
+    assert sources.manifest(spark, str(tmp_path / "bad.json"), sources.S3_MANIFEST, "objects").count() == 0
+    assert sources.manifest(spark, str(tmp_path / "none.json"), sources.S3_MANIFEST, "objects").count() == 0
+    (tmp_path / "a.TXT").write_bytes(b"\xef\xbb\xbfhi\xff")
+    (tmp_path / "b.pdf").write_bytes(b"%PDF")
+    assert [(r.size, r.text) for r in sources.text_files(spark, str(tmp_path)).collect()] == [(6, "hi\ufffd")]
+    target = str(tmp_path / "t")
+    sync.write_touched(spark.createDataFrame([("a", 1), ("b", 2)], "collection string, x int"), target)
+    sync.write_touched(spark.createDataFrame([("b", 3)], "collection string, x int"), target)
+    assert sorted(r.x for r in spark.read.parquet(target).collect()) == [1, 3]
