@@ -109,33 +109,64 @@ def test_op1_base_score_and_gain(docs, rows, none):
     assert mixing_lm.score_corpus(none).count() == 0
 
 
-def test_op1_probabilities_of_next_bytes_sum_to_one():
-    seen = [b"abc", b"abd", b"ab", b"b", b"\n"]
-    everything = [b"ab" + bytes([c]) for c in range(256) if c not in b" \t\n\x0b\x0c\r"] + seen
-    e = mixing_lm.Edges(everything, np.zeros(len(everything), np.uint8), np.array([0] * (len(everything) - len(seen)) + [9, 4, 3, 8, 5]))
-    tables = e.table_counts().astype(np.float32)
-    w, _, fine = mixing_lm.learn(e, tables)
-    p = 10 ** mixing_lm.log10_steps(e, tables, w, fine)
-    third = np.flatnonzero([bool(e.contexts[3][k] == e.contexts[3][e.which[e.starts[0] + 2]]) for k in range(len(p))])
-    assert 0.9 < p[third].sum() <= 1.000001  # all but the white-space bytes other than the end of the word
-
-
-def test_op1_weights_follow_all_occurrences(spark, docs):
-    words = [b"abc", b"abd", b"ab", b"b", b"\n"]
-    for scale in (1, 1000):  # no cap on how much an often seen step weighs
-        e = mixing_lm.Edges(words, np.zeros(5, np.uint8), np.array([9, 4, 3, 8, 5]) * scale)
-        tables = e.table_counts().astype(np.float32)
-        w, evidence, _ = mixing_lm.learn(e, tables)
-        s = mixing_lm.slopes(*mixing_lm.observed(e, tables), w)
-        pulled = s[:, 1 : 1 + mixing_lm.INPUTS] - (w - np.array(mixing_lm.START))
-        assert evidence.sum() == e.n.sum() * 8 and np.abs(pulled).max() < 0.01 * evidence.max()
-    scores = []
-    for n in ("4", "23"):  # nor do weights depend on how words are dealt to buckets
-        before = spark.conf.get("spark.sql.shuffle.partitions")
+def test_op1_counts_and_code(docs):
+    """Probabilities against the counts themselves, and all words that may come next against one."""
+    texts = ["a b c a b d", "a b c", "b c a", "x"]
+    table = pa.table({"text": texts, "held_out": [False, False, False, True]})
+    t = mixing_lm.Tokens(table)
+    runs = [(*("^" for _ in range(2)), *texts[k].split(), "$") for k in t.order]
+    train = [r for k, r in zip(t.order, runs) if k != 3]
+    seen = {n: Counter(r[i - n + 1 : i + 1] for r in train for i in range(2, len(r))) for n in (1, 2, 3)}
+    places = [r[: i + 1] for r in runs for i in range(2, len(r))]
+    counts = {n: np.array([seen[n][p[-n:]] for p in places]) for n in (1, 2, 3)}
+    for kind in (mixing_lm.WORD, mixing_lm.PAIR, mixing_lm.TRIPLE):
+        hashes = t.items(kind)
+        assert len(set(hashes.tolist())) == len({p[-kind:] for p in places})
+    n, bytes_of = sum(seen[1].values()), np.zeros((mixing_lm.PAIRS + mixing_lm.SINGLES, 256), np.float32)
+    logs = mixing_lm.decisions(t, counts, n, 3, bytes_of)
+    assert len(logs) == len(places) and (logs < 0).all()
+    # one held-out text of one token before its end: what may stand there, each alone, shares at most probability one
+    total, known = 0.0, ["a", "b", "c", "d", "x", "q", "zz"]
+    for w in known:
+        one = mixing_lm.Tokens(pa.table({"text": [w], "held_out": [True]}))
+        c = {1: np.array([seen[1][(w,)], 3]), 2: np.array([seen[2][("^", w)], seen[2][(w, "$")]]), 3: np.array([seen[3][("^", "^", w)], seen[3][("^", w, "$")]])}
+        total += 10 ** mixing_lm.decisions(one, c, n, 3, bytes_of)[0]
+    empty = mixing_lm.Tokens(pa.table({"text": [""], "held_out": [True]}))
+    total += 10 ** mixing_lm.decisions(empty, {1: np.array([3]), 2: np.array([0]), 3: np.array([0])}, n, 3, bytes_of)[0]
+    assert 0.3 < total <= 1.0
+
+
+def test_op1_spelling_is_a_distribution():
+    words = [b"abc", b"abd", b"ba", b"\xc3\xa9"]
+    counts = np.zeros((mixing_lm.PAIRS + mixing_lm.SINGLES, 256))
+    far, near, byte, _ = mixing_lm.spelled_rows(words)
+    np.add.at(counts, (far, byte), 1)
+    np.add.at(counts, (near, byte), 1)
+    every = [b"ab" + bytes([c]) for c in range(256)]
+    first = 10 ** mixing_lm.spelled(every, counts)
+    assert sum(first) <= 1 and mixing_lm.spelled([b"abc"], counts)[0] > mixing_lm.spelled([b"zqx"], counts)[0] + 2
+
+
+def test_op1_order_copies_and_partitions(spark):
+    r = random.Random(4)
+    nouns, verbs = [f"noun{k}" for k in range(40)], [f"verb{k}" for k in range(40)]
+    text = lambda: " ".join(f"the {r.choice(nouns)} {r.choice(verbs)} of it" for _ in range(12))
+    rows = [(k, text()) for k in range(400)]
+    rows += [(1000 + k, rows[k][1]) for k in range(0, 40)]
+    salad = [(2000 + k, " ".join(r.sample(rows[k][1].split(), 60))) for k in range(100, 130)]
+    df = spark.createDataFrame(rows + salad, "doc_id long, text string")
+    got = {}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("4", "23"):
         spark.conf.set("spark.sql.shuffle.partitions", n)
-        scores.append(sorted(r.score for r in mixing_lm.score_corpus(docs).collect()))
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-    assert scores[0] == pytest.approx(scores[1], rel=1e-6)
+        got[n] = {x.doc_id: x.score for x in mixing_lm.score_corpus(df.repartition(int(n))).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got["4"] == pytest.approx(got["23"], rel=1e-9)
+    s, mean = got["4"], lambda ids: np.mean([got["4"][k] for k in ids])
+    held = lambda k: zlib.crc32(str(k).encode()) % 7 == 2
+    assert mean(range(1000, 1040)) > 0.5 * mean(range(50, 100))  # a text that occurs twice is told apart
+    assert mean(k for k, _ in salad) < 1.3 * mean(range(100, 130))  # and so is the order of words
+    assert len(s) == len(rows) + len(salad) and any(held(k) for k in s)
 
 
 def brute_quality(t):
