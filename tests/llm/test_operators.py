@@ -149,7 +149,7 @@ def test_op1_spelling_is_a_distribution():
 
 def test_op1_order_copies_and_partitions(spark):
     r = random.Random(4)
-    nouns, verbs = [f"noun{k}" for k in range(40)], [f"verb{k}" for k in range(40)]
+    nouns, verbs = [f"noun{k}" for k in range(2000)], [f"verb{k}" for k in range(2000)]
     text = lambda: " ".join(f"the {r.choice(nouns)} {r.choice(verbs)} of it" for _ in range(12))
     rows = [(k, text()) for k in range(400)]
     rows += [(1000 + k, rows[k][1]) for k in range(0, 40)]
