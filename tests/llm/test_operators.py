@@ -112,7 +112,7 @@ def test_op1_base_score_and_gain(docs, rows, none):
 def test_op1_counts_and_code(docs):
     """Probabilities against the counts themselves, and all words that may come next against one."""
     texts = ["a b c a b d", "a b c", "b c a", "x"]
-    table = pa.table({"text": texts, "held_out": [False, False, False, True]})
+    table = pa.table({"id": [0, 1, 2, 3], "text": texts, "held_out": [False, False, False, True]})
     t = mixing_lm.Tokens(table)
     runs = [(*("^" for _ in range(2)), *texts[k].split(), "$") for k in t.order]
     train = [r for k, r in zip(t.order, runs) if k != 3]
@@ -128,10 +128,10 @@ def test_op1_counts_and_code(docs):
     # one held-out text of one token before its end: what may stand there, each alone, shares at most probability one
     total, known = 0.0, ["a", "b", "c", "d", "x", "q", "zz"]
     for w in known:
-        one = mixing_lm.Tokens(pa.table({"text": [w], "held_out": [True]}))
+        one = mixing_lm.Tokens(pa.table({"id": [9], "text": [w], "held_out": [True]}))
         c = {1: np.array([seen[1][(w,)], 3]), 2: np.array([seen[2][("^", w)], seen[2][(w, "$")]]), 3: np.array([seen[3][("^", "^", w)], seen[3][("^", w, "$")]])}
         total += 10 ** mixing_lm.decisions(one, c, n, 3, bytes_of)[0]
-    empty = mixing_lm.Tokens(pa.table({"text": [""], "held_out": [True]}))
+    empty = mixing_lm.Tokens(pa.table({"id": [9], "text": [""], "held_out": [True]}))
     total += 10 ** mixing_lm.decisions(empty, {1: np.array([3]), 2: np.array([0]), 3: np.array([0])}, n, 3, bytes_of)[0]
     assert 0.3 < total <= 1.0
 
