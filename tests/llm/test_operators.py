@@ -164,7 +164,7 @@ def test_op1_order_copies_and_partitions(spark):
     assert got["4"] == pytest.approx(got["23"], rel=1e-9)
     s, mean = got["4"], lambda ids: np.mean([got["4"][k] for k in ids])
     held = lambda k: zlib.crc32(str(k).encode()) % 7 == 2
-    assert mean(range(1000, 1040)) > 0.5 * mean(range(50, 100))  # a text that occurs twice is told apart
+    assert mean(range(1000, 1040)) > mean(range(50, 100)) + 30  # a text that occurs twice is told apart, by 30 powers of ten
     assert mean(k for k, _ in salad) < 1.3 * mean(range(100, 130))  # and so is the order of words
     assert len(s) == len(rows) + len(salad) and any(held(k) for k in s)
 
