@@ -1,7 +1,7 @@
 """Sections, subsections and chunks with stable ids.
 
 Splits at headings are regular expressions with posexplode; only the recursive splitter is a Python function, an
-Arrow batch at a time.  The running index is one window per document.
+Arrow batch at a time.  The running index is counted along with it, so texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.exprs import CHUNK_OVERLAP, CHUNK_SIZE, chunk_id, trimmed
 
@@ -65,19 +65,31 @@ def split_recursive(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVER
     return out
 
 
-def recursive_chunks(df: DataFrame, text_col: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """df with column `pieces`, the recursive splitter's array of each text (none for a null or blank one)."""
-    at = df.columns.index(text_col)
-    names = df.columns
+def numbered_pieces(blocks: DataFrame, text_col: str = "block", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """sections() plus `pieces`, the recursive splitter's array of each block (none for a null or blank one), and
+    `before`, how many pieces the file's earlier blocks have.
+
+    The blocks of a file come one after another out of sections(), which moves no rows, and the first has both
+    numbers 0; so the count runs along in the task, and no text is shuffled for it.
+    """
+    names = blocks.columns
+    at, section, subsection = (names.index(c) for c in (text_col, "section_no", "subsection_no"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+                part, earlier = batch.slice(lo, 256), []
                 cut = [split_recursive(t.strip(), size, overlap) if t and t.strip() else [] for t in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cut, pa.list_(pa.string()))], [*names, "pieces"])
+                for s, u, c in zip(part.column(section).to_pylist(), part.column(subsection).to_pylist(), cut, strict=True):
+                    before = before if s or u else 0
+                    earlier.append(before)
+                    before += len(c)
+                added = [pa.array(cut, pa.list_(pa.string())), pa.array(earlier, pa.int32())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *added], [*names, "pieces", "before"])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("pieces", T.ArrayType(T.StringType()))]))
+    added = [T.StructField("pieces", T.ArrayType(T.StringType())), T.StructField("before", T.IntegerType())]
+    return blocks.mapInArrow(run, T.StructType([*blocks.schema.fields, *added]))
 
 
 def sections(files: DataFrame) -> DataFrame:
@@ -110,12 +122,14 @@ def sections(files: DataFrame) -> DataFrame:
     return df.drop(*(c for c in df.columns if c.startswith("__")), "text")
 
 
-def chunks(files: DataFrame, key: str = "source_path") -> DataFrame:
-    """All chunks of the files: the blocks' pieces with a running index over the document and an id made of it."""
-    cut = recursive_chunks(sections(files), "block")
-    piece = cut.select("*", F.posexplode("pieces").alias("piece_no", "text")).drop("pieces", "block")
-    order = W.partitionBy(key).orderBy("section_no", "subsection_no", "piece_no")
-    piece = piece.withColumn("chunk_index", F.row_number().over(order) - 1).drop("section_no", "subsection_no", "piece_no")
+def chunks(files: DataFrame) -> DataFrame:
+    """All chunks of the files: the blocks' pieces with a running index over the document and an id made of it.
+
+    Each row of files is numbered on its own, repeated rows too.
+    """
+    piece = numbered_pieces(sections(files)).select("*", F.posexplode("pieces").alias("piece_no", "text"))
+    piece = piece.withColumn("chunk_index", F.col("before") + F.col("piece_no"))
+    piece = piece.drop("pieces", "block", "before", "section_no", "subsection_no", "piece_no")
     return piece.withColumn("id", chunk_id(F.col("citation"), F.col("chunk_index"), F.col("text")))
 
 
