@@ -27,9 +27,13 @@ def null_if_empty(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+#: Fixed value: the characters that Unicode counts as white space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def trimmed(c: Column) -> Column:
     """Without white space, of any script, at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def normalize_space(c: Column) -> Column:
