@@ -5,10 +5,11 @@
    many hashes are computed as by minima alone.  PAIRS permutations make a band; each band is one 64-bit key.
 2. Classes that share a key are candidates.  Keys with the same classes are one bucket.  The least class of a bucket is its
    pivot; each other class is compared with it on full sets, in the JVM.
-3. What is linked so far is joined to components.  A bucket whose other classes aren't all in one component goes on:
-   its classes are cut into blocks of about BLOCK_CLASSES, the pairs of a block are compared on full sets by a product of
-   incidence matrices, components are joined again, and then only pairs of blocks that still hold different components
-   are multiplied.  So a large group of near copies, once joined, isn't compared pair by pair.
+3. What is linked so far is joined to components.  A bucket whose other classes aren't all in one component goes on, without
+   classes that share too few shingles with all the others together: its classes are cut into blocks of about
+   BLOCK_CLASSES, the pairs of a block are compared on full sets by a product of incidence matrices, components are joined
+   again, and then only classes outside their bucket's largest component are compared with the bucket.  So a large group of
+   near copies, once joined, isn't compared pair by pair.
 
 Every pair of classes with a key in common is thus compared or already joined; a linked pair has none in common with
 probability of at most (1 - 0.85**6)**50, 6e-11.  Links are confirmed on full sets; shingles are compared by 64-bit hashes.
@@ -60,7 +61,7 @@ def _alike(a: str, b: str, percent: int) -> str:
     return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
 
-def _place(spots: DataFrame) -> DataFrame:
+def _placed(spots: DataFrame) -> DataFrame:
     """The block of each class: those whose largest bucket is the same are together, about BLOCK_CLASSES to a block."""
     sizes = spots.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
     home = spots.join(sizes, "key").groupBy("class").agg(F.max(F.struct("m", "key")).alias("home")).select("class", F.col("home.key").alias("home"))
@@ -69,17 +70,28 @@ def _place(spots: DataFrame) -> DataFrame:
     return home.join(home.groupBy("home").agg(F.count(F.lit(1)).alias("members")), "home").select("class", F.xxhash64("home", salt).alias("block"))
 
 
-def _multiply(spots: DataFrame, sets: DataFrame, percent: int, own: bool) -> DataFrame:
-    """Links (x, y) inside blocks, or between blocks; spots: key, class, block, comp.  Only where components differ."""
-    per = spots.groupBy("key", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    if own:
-        pairs = per.filter("lo != hi").select("key", F.col("block").alias("a"), F.col("block").alias("b"))
-        members = pairs.join(spots.withColumnRenamed("block", "a"), ["key", "a"]).select("a", "b", "class", F.lit("a").alias("side")).distinct()
-    else:
-        a, b = (per.select("key", F.col("block").alias(c), F.col("lo").alias(f"{c}lo"), F.col("hi").alias(f"{c}hi")) for c in "ab")
-        pairs = materialize(a.join(b, "key").filter("a < b and not (alo = ahi and blo = bhi and alo = blo)").select("key", "a", "b"), "block-pairs")
-        side = lambda c: pairs.join(spots.withColumnRenamed("block", c), ["key", c]).select("a", "b", "class", F.lit(c).alias("side"))
-        members = side("a").unionByName(side("b")).distinct()
+def _inside_blocks(spots: DataFrame) -> DataFrame:
+    """Groups for _multiply(): each block with itself."""
+    blocks = spots.join(_placed(spots), "class")
+    mixed = blocks.groupBy("key", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key", "block")
+    found = blocks.join(mixed, ["key", "block"]).select(F.col("block").alias("a"), F.lit(0).alias("b"), "class").distinct()
+    return found.withColumn("side", F.explode(F.array(F.lit("a"), F.lit("b"))))
+
+
+def _beside_the_main(spots: DataFrame) -> DataFrame:
+    """Groups for _multiply(): classes outside their bucket's main component, in blocks, with all classes of their buckets, in parts."""
+    most = spots.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "comp"))["comp"].alias("main"))
+    odd = materialize(spots.join(most, "key").filter("comp != main").select("key", "class"), "odd")
+    blocks = materialize(_placed(odd), "blocks")
+    others = materialize(odd.join(blocks, "class").select(F.col("block").alias("a"), "key").distinct().join(spots.select("key", "class"), "key").select("a", "class").distinct(), "others")
+    parts = others.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES).cast("int").alias("parts"))
+    right = others.join(parts, "a").select("a", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("b"), "class", F.lit("b").alias("side"))
+    left = blocks.withColumnRenamed("block", "a").join(parts, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("b"), "class", F.lit("a").alias("side"))
+    return left.unionByName(right)
+
+
+def _multiply(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (x, y) between the two sides of each group; groups: a, b, class, side."""
 
     def link(table: pa.Table) -> pa.Table:
         names, index, sets, rows = [], {}, [], {"a": [], "b": []}
@@ -88,13 +100,27 @@ def _multiply(spots: DataFrame, sets: DataFrame, percent: int, own: bool) -> Dat
                 index[c] = len(names)
                 names.append(c), sets.append(t.values.to_numpy(zero_copy_only=False))
             rows[s].append(index[c])
-        left = np.array(sorted(rows["a"]), np.int64)
-        right = left if own else np.array(sorted(rows["b"]), np.int64)
-        x, y = block_product(sets, np.array([len(s) for s in sets]), left, right, percent)
+        left, right = (np.array(sorted(rows[s]), np.int64) for s in "ab")
+        x, y = block_product(sets, np.array([len(s) for s in sets]), left, right, percent) if len(left) and len(right) else (left[:0], left[:0])
         tree = forest(left[x], right[y], len(names))
         return pa.table({"x": pa.array([names[p] for p, _ in tree], pa.binary()), "y": pa.array([names[q] for _, q in tree], pa.binary())})
 
-    return materialize(members.join(sets, "class").groupBy("a", "b").applyInArrow(link, "x binary, y binary"), "links")
+    return materialize(groups.join(sets, "class").groupBy("a", "b").applyInArrow(link, "x binary, y binary"), "links")
+
+
+def _may_link(spots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the spots, those of classes that share enough of their shingles with any other class of the spots at all."""
+    some = sets.join(spots.select("class").distinct(), "class")
+    alone = some.select("class", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("class").alias("class")).filter("m = 1").groupBy("class").agg(F.count(F.lit(1)).alias("alone"))
+    n = F.size("tokens")
+    may = some.join(alone, "class", "left").filter(100 * (n - F.coalesce("alone", F.lit(0))) >= percent * n).select("class")
+    return spots.join(may, "class")
+
+
+def _mixed(spots: DataFrame) -> DataFrame:
+    """Of the spots, those in buckets with more than one component."""
+    keys = spots.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
+    return materialize(spots.join(keys, "key"), "open")
 
 
 def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -148,22 +174,19 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = materialize(both.filter(100 * common >= percent * (F.col("xn") + F.col("yn") - common)).select("x", "y"), "links")
     roots = components(links)
 
-    def open_spots(roots: DataFrame) -> DataFrame:
-        """The classes, pivots left out, of buckets in which such are in different components."""
-        there = members.filter("class != pivot.class").select("key", "class").join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("comp"))
-        keys = there.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
-        return materialize(there.join(keys, "key"), "open")
-
-    spots, blocks = open_spots(roots), None
-    for own in (True, False):
+    #: What the pivots leave: the other classes of buckets in which such are in different components.
+    in_component = lambda spots: spots.join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("comp"))
+    spots = _mixed(in_component(members.filter("class != pivot.class").select("key", "class")))
+    if not spots.isEmpty():
+        spots = _mixed(_may_link(spots, sets, percent))
+    for groups in (_inside_blocks, _beside_the_main):
         if spots.isEmpty():
             break
-        blocks = materialize(_place(spots), "blocks") if own else blocks
-        more = _multiply(spots.join(blocks, "class"), sets, percent, own)
+        more = _multiply(groups(spots), sets, percent)
         if not more.isEmpty():
             links = links.unionByName(more)
             roots = components(links)
-            spots = open_spots(roots) if own else spots
+            spots = _mixed(in_component(spots.drop("comp")))
 
     known = classes.select("class", "least").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     firsts = materialize(known.groupBy("root").agg(F.min("least").alias("first")), "firsts")
