@@ -1,95 +1,55 @@
-"""Pages to text: nodes of a page by a small standard-library parser, the rest as column functions."""
+"""Pages to text: node trees (see dom.py) to blocks, sections and links, by column functions."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.exprs import normalize_space
+from .dom import first, let, node_text, select
 
-#: Tags that hold no text, block tags and their marks, texts that are navigation.
-SILENT = ("script", "style", "noscript")
+#: Block tags and their marks, texts that are navigation.
 MARKS = {"h1": "# ", "h2": "## ", "h3": "### ", "h4": "#### ", "p": "", "li": "- "}
 NAVIGATION = ("Top", "21.1.1")
-VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
-
-NODE = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("tag", T.StringType()), T.StructField("id", T.StringType()), T.StructField("cls", T.StringType()), T.StructField("text", T.StringType())])
-_ARROW = pa.list_(pa.struct([("pos", pa.int32()), ("tag", pa.string()), ("id", pa.string()), ("cls", pa.string()), ("text", pa.string())]))
-
-
-class _Nodes(HTMLParser):
-    def __init__(self, wanted: frozenset[str]):
-        super().__init__()
-        self.wanted, self.open, self.done, self.silent = wanted, [], [], 0
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in SILENT:
-            self.silent += 1
-        if tag in self.wanted and tag not in VOID:
-            given = dict(attrs)
-            node = {"pos": len(self.done), "tag": tag, "id": given.get("id"), "cls": given.get("class"), "text": []}
-            self.done.append(node)
-            self.open.append(node)
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in SILENT:
-            self.silent = max(0, self.silent - 1)
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k]["tag"] == tag:
-                del self.open[k:]
-                break
-
-    def handle_data(self, data: str) -> None:
-        if not self.silent:
-            for node in self.open:
-                node["text"].append(data.strip())
-
-
-def nodes_of(html: str | None, wanted: frozenset[str]) -> list[dict]:
-    parser = _Nodes(wanted)
-    parser.feed(html or "")
-    parser.close()
-    return [n | {"text": " ".join(t for t in n["text"] if t)} for n in parser.done]
-
+#: Dotted leaders of an index, and the headings that a converter puts before a file and its pages.
+LEADERS = r"(?m)^.{0,80}(?:\.\s){5,}"
+PAGE_HEADING = r"^(?:#\s+\S*\.pdf|##\s+Page\s+\d+)\s*$"
 
-def html_nodes(df: DataFrame, html_col: str = "html", tags: tuple[str, ...] = (*MARKS, "title", "section", "span", "div", "td")) -> DataFrame:
-    """df with column `nodes`: the wanted tags of each page in document order, with id, class and inner text."""
-    at, wanted = df.columns.index(html_col), frozenset(tags)
-    names = df.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
-                found = [nodes_of(h, wanted) for h in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, _ARROW)], [*names, "nodes"])
+def markdownish(tree: Column) -> Column:
+    """Headings, paragraphs and list items of the body as lines with marks; navigation and repeated lines left out."""
+    marked = lambda n: n["tag"].isin(*MARKS) & (n["begin"] < n["end"])
+    wanted = let(first(select(tree, "body")), lambda body: F.filter(tree["nodes"], lambda n: marked(n) & (body.isNull() | ((n["pos"] > body["pos"]) & (n["pos"] <= body["last"])))))
+    blocks = F.filter(F.transform(wanted, lambda n: F.struct(n["tag"].alias("tag"), normalize_space(node_text(tree, n)).alias("text"))), lambda n: (n["text"] != "") & ~n["text"].isin(*NAVIGATION))
+    marks = F.create_map(*(F.lit(x) for pair in MARKS.items() for x in pair))
+    return F.array_join(F.transform(F.array_distinct(blocks), lambda n: F.concat(F.element_at(marks, n["tag"]), n["text"])), "\n\n")
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("nodes", T.ArrayType(NODE))]))
 
+def section_text(tree: Column, section: Column) -> Column:
+    """Paragraphs from the one that holds the anchor `sec_<section>` up to the next beside it that holds a section's anchor.
 
-def markdownish(nodes: Column) -> Column:
-    """Headings, paragraphs and list items as lines with marks; navigation and repeated lines left out."""
-    blocks = F.filter(F.transform(nodes, lambda n: F.struct(n["tag"].alias("tag"), normalize_space(n["text"]).alias("text"))), lambda n: n["tag"].isin(*MARKS) & (n["text"] != "") & ~n["text"].isin(*NAVIGATION))
-    marks = F.create_map(*(F.lit(x) for pair in MARKS.items() for x in pair))
-    return F.array_join(F.transform(F.array_distinct(blocks), lambda n: F.concat(F.element_at(marks, n["tag"]), n["text"])), "\n\n")
+    Null where the page has no such anchor, or none inside a paragraph.
+    """
+    nodes = tree["nodes"]
+    named = F.filter(nodes, lambda n: (n["tag"] == "span") & n["id"].isNotNull())
+    inside = lambda m, n: (m["pos"] > n["pos"]) & (m["pos"] <= n["last"])
+    of = lambda name: first(F.filter(nodes, lambda n: n["id"] == F.concat(F.lit("sec_"), name)))
+    anchor = F.coalesce(of(F.lower(section)), of(section))
+    start = let(anchor, lambda a: let(F.filter(nodes, lambda n: (n["tag"] == "p") & inside(a, n)), lambda around: F.element_at(F.when(F.size(around) > 0, around), -1)))
 
+    def body(start: Column, named: Column) -> Column:
+        begins = lambda n: F.coalesce(first(F.filter(named, lambda m: inside(m, n)))["id"].startswith("sec_"), F.lit(False))
+        beside = F.filter(nodes, lambda n: (n["parent"] == start["parent"]) & (n["pos"] > start["pos"]) & begins(n))
+        own = let(F.coalesce(first(beside)["pos"], F.lit(1 << 30)), lambda stop: F.filter(nodes, lambda n: (n["tag"] == "p") & (n["parent"] == start["parent"]) & (n["pos"] >= start["pos"]) & (n["pos"] < stop)))
+        texts = F.filter(F.transform(own, lambda n: normalize_space(node_text(tree, n))), lambda t: t != "")
+        return F.when(start.isNotNull(), F.array_join(texts, "\n\n"))
 
-def section_text(nodes: Column, section: Column) -> Column:
-    """Paragraphs from the one that holds the anchor `sec_<section>` up to the next anchor."""
-    anchors = F.filter(nodes, lambda n: n["id"].startswith("sec_"))
-    start = F.get(F.filter(anchors, lambda n: F.lower(n["id"]) == F.concat(F.lit("sec_"), F.lower(section))), 0)["pos"]
-    stop = F.coalesce(F.array_min(F.transform(F.filter(anchors, lambda n: n["pos"] > start), lambda n: n["pos"])) - 1, F.lit(1 << 30))
-    body = F.filter(nodes, lambda n: (n["tag"] == "p") & (n["pos"] >= start - 1) & (n["pos"] < stop) & (n["text"] != ""))
-    return F.when(start.isNotNull(), F.array_join(F.transform(body, lambda n: normalize_space(n["text"])), "\n\n"))
+    return let(start, lambda s: let(named, lambda m: body(s, m)))
 
 
-def tag_text(nodes: Column, tag: str, joint: str = "\n\n", first: int = 0) -> Column:
-    """Texts of all nodes of a tag, joined; `first` leaves out so many."""
-    texts = F.filter(F.transform(F.filter(nodes, lambda n: n["tag"] == tag), lambda n: normalize_space(n["text"])), lambda x: x != "")
-    return F.array_join(F.slice(texts, first + 1, 1 << 20), joint)
+def tag_text(tree: Column, tag: str, joint: str = "\n\n", skip: int = 0) -> Column:
+    """Texts of all elements of a tag, joined; `skip` leaves out so many."""
+    texts = F.filter(F.transform(select(tree, tag), lambda n: normalize_space(node_text(tree, n))), lambda x: x != "")
+    return F.array_join(F.slice(texts, skip + 1, 1 << 20), joint)
 
 
 def page_title(html: Column) -> Column:
@@ -107,31 +67,19 @@ def resolve(base: Column, href: Column) -> Column:
     return F.when(href.rlike("^[a-z][a-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.split_part(base, F.lit("//"), F.lit(1)), href)).when(href.startswith("/"), F.concat(origin, href)).otherwise(F.concat(folder, href))
 
 
-def extract_by_rules(pages: DataFrame, rules: DataFrame, key: str = "state") -> DataFrame:
-    """Section bodies by one rule a site: rules(key, container_tag, container_class, joint, skip_first, note_pattern).
-
-    Pages need `nodes` and the key; the rules are a small table of sites and are broadcast by Spark if they fit.
-    """
-    joined = pages.join(rules, key)
-    inside = F.filter("nodes", lambda n: (n["tag"] == F.col("container_tag")) & (F.col("container_class").isNull() | F.array_contains(F.split(F.coalesce(n["cls"], F.lit("")), r"\s+"), F.col("container_class"))))
-    texts = F.filter(F.transform(inside, lambda n: normalize_space(n["text"])), lambda x: x != "")
-    body = F.call_function("array_join", F.slice(texts, F.col("skip_first") + 1, F.lit(1 << 20)), F.col("joint"))
-    return joined.withColumn("body", F.when(F.col("note_pattern").isNull(), body).otherwise(F.trim(F.regexp_replace(body, F.col("note_pattern"), "")))).drop(*rules.drop(key).columns)
-
-
 def trim_index(text: Column) -> Column:
     """Cut at the first dotted-leader line (five or more of dot and white space within its first 80 characters) from the
     last section heading on."""
     before = F.regexp_extract(text, r"(?s)\A(.*(?:\A|\n))Sec\. [0-9A-Za-z\-]+\.", 1)
     there = text.rlike(r"(?m)^Sec\. [0-9A-Za-z\-]+\.")
     tail = F.substr(text, F.length(before) + 1)
-    at = F.regexp_instr(tail, F.lit(r"(?m)^.{0,80}(?:\.\s){5,}"))
+    at = F.regexp_instr(tail, F.lit(LEADERS))
     return F.when(there & (at > 0), F.concat(F.regexp_replace(F.concat(before, F.left(tail, at - 1)), r"(?U)\s+\z", ""), F.lit("\n"))).otherwise(text)
 
 
 def strip_scaffold(text: Column) -> Column:
     """Converted page text without its file title and page headings, runs of blank lines made one."""
-    lines = F.filter(F.split(text, r"\r\n|\n|\r"), lambda x: ~x.rlike(r"^(?:#\s+\S*\.pdf|##\s+Page\s+\d+)\s*$"))
+    lines = F.filter(F.split(text, r"\r\n|\n|\r"), lambda x: ~x.rlike(PAGE_HEADING))
     return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"), r"(?U)\A\s+|\s+\z", "")
 
 

@@ -125,17 +125,19 @@ def needs_ingest(cases: DataFrame, state: DataFrame, refresh: bool = False, dry_
 
 
 def flatten_docket(docket: DataFrame) -> DataFrame:
-    """href, downloaded_path of the documents and attachments of nested docket entries."""
-    docs = docket.select("crn", F.explode_outer("docket_entries").alias("e")).select("crn", F.explode_outer("e.documents").alias("d"))
-    one = docs.select("crn", "d.href", "d.downloaded_path")
-    two = docs.select("crn", F.explode_outer("d.attachments").alias("a")).select("crn", "a.href", "a.downloaded_path")
+    """crn, href, downloaded_path and place (entry, document, attachment; a document stands before its attachments) of the
+    documents and attachments of nested docket entries."""
+    docs = docket.select("crn", F.posexplode("docket_entries").alias("e", "entry")).select("crn", "e", F.posexplode("entry.documents").alias("d", "doc"))
+    one = docs.select("crn", "doc.href", "doc.downloaded_path", F.struct("e", "d", F.lit(-1).alias("a")).alias("place"))
+    two = docs.select("crn", "e", "d", F.posexplode("doc.attachments").alias("a", "att")).select("crn", "att.href", "att.downloaded_path", F.struct("e", "d", "a").alias("place"))
     return one.unionByName(two).filter("href is not null")
 
 
 def previous_downloads(links: DataFrame, docket: DataFrame) -> DataFrame:
-    """Links with the path that an earlier manifest has for their href; the last entry that has one wins."""
-    known = flatten_docket(docket).filter(F.coalesce("downloaded_path", F.lit("")) != "").groupBy("href").agg(F.max("downloaded_path").alias("downloaded_path"))
-    return links.join(known, "href", "left")
+    """Links (crn, href) with the path that the same case's earlier manifest has for their href; of several places with a
+    path the last one wins."""
+    known = flatten_docket(docket).filter(F.coalesce("downloaded_path", F.lit("")) != "").groupBy("crn", "href").agg(F.max_by("downloaded_path", "place").alias("downloaded_path"))
+    return links.join(known, ["crn", "href"], "left")
 
 
 def docket_order(docket: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import exprs as X
-from ..operators import chunking, frontier, guard, html, retrieval, rollups, scope, sync, usage
+from ..operators import chunking, dom, frontier, guard, html, retrieval, rollups, scope, sync, usage
 from ..sources.files import prices
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -414,16 +414,16 @@ def html_title(spark, sf_dir):
 
 @query()
 def html_markdown(spark, sf_dir):
-    p = html.html_nodes(table(spark, sf_dir, "pages").select("page_id", "html"))
-    return p.select("page_id", html.markdownish(F.col("nodes")).alias("markdown"))
+    p = dom.page_trees(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return p.select("page_id", html.markdownish(F.col("tree")).alias("markdown"))
 
 
 @query()
 def html_sections(spark, sf_dir):
-    """Bodies by rules, one for each language of the pages' paths."""
-    p = html.html_nodes(table(spark, sf_dir, "pages").select("page_id", F.split_part(X.url_path(F.col("url")), F.lit("/"), F.lit(2)).alias("state"), "html"))
-    rules = p.select("state").distinct().select("state", F.lit("p").alias("container_tag"), F.lit(None).cast("string").alias("container_class"), F.lit("\n\n").alias("joint"), F.when(F.col("state") == "en", 1).otherwise(0).alias("skip_first"), F.lit(None).cast("string").alias("note_pattern"))
-    return html.extract_by_rules(p, rules).select("page_id", "state", "body")
+    """Bodies of paragraphs, by languages of the pages' paths: English ones without the first."""
+    p = dom.page_trees(table(spark, sf_dir, "pages").select("page_id", F.split_part(X.url_path(F.col("url")), F.lit("/"), F.lit(2)).alias("state"), "html"))
+    bodies = F.when(F.col("state") == "en", html.tag_text(F.col("tree"), "p", skip=1)).otherwise(html.tag_text(F.col("tree"), "p"))
+    return p.select("page_id", "state", bodies.alias("body"))
 
 
 @query("SELECT page_id, trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM pages")
@@ -477,4 +477,4 @@ def section_recode(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", scope.padded_number(n).alias("padded"), scope.title_number(n, "25").alias("titled"), scope.dotted_name(pair, "HRS").alias("named"))
 
 
-from . import registry_corpus  # noqa: E402, F401  its queries register themselves
+from . import registry_corpus, registry_pages  # noqa: E402, F401  their queries register themselves

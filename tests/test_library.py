@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 from corpusmill.functions import exprs as X
-from corpusmill.operators import chunking, frontier, guard, html, ingest, retrieval, rollups, scope, sync, usage
+from corpusmill.operators import chunking, dom, frontier, guard, html, ingest, retrieval, rollups, scope, sync, usage
 from corpusmill.plans import registry
 from corpusmill.sources import files as sources
 from corpusmill.sources.files import prices
@@ -67,8 +67,8 @@ def test_recursive_splitter():
 
 def test_pages(spark):
     page = "<html><body><h1>A  b</h1><p>Top</p><script>no</script><ul><li>one</li><li>one</li></ul><p><span id='sec_1'>Sec 1.</span> first</p><p>more</p><p><span id='sec_2'>Sec 2.</span></p></body></html>"
-    df = html.html_nodes(spark.createDataFrame([(1, page), (2, None)], "page_id int, html string"))
-    got = {r.page_id: r for r in df.select("page_id", html.markdownish(F.col("nodes")).alias("m"), html.section_text(F.col("nodes"), F.lit("1")).alias("s")).collect()}
+    df = dom.page_trees(spark.createDataFrame([(1, page), (2, None)], "page_id int, html string"))
+    got = {r.page_id: r for r in df.select("page_id", html.markdownish(F.col("tree")).alias("m"), html.section_text(F.col("tree"), F.lit("1")).alias("s")).collect()}
     assert got[1].m.startswith("# A b\n\n- one\n\nSec 1. first") and got[1].s == "Sec 1. first\n\nmore" and got[2].m == ""
 
 
