@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-
-def _written(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the cluster names; as it is where none is named."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getCheckpointDir()
-    if not base:
-        return df.persist()
-    path = f"{base.rstrip('/')}/frontier-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from .scratch import written
 
 
 def walk(edges: DataFrame, seeds: DataFrame, follow: Column | None = None, most_steps: int | None = None) -> DataFrame:
@@ -24,17 +15,17 @@ def walk(edges: DataFrame, seeds: DataFrame, follow: Column | None = None, most_
     Ends when nothing new is reached; with most_steps, raises if more steps than that would reach something.
     """
     usable = edges.filter(follow) if follow is not None else edges
-    seen = frontier = _written(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
+    seen = frontier = written(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     for depth in count(1):
         reached = frontier.join(usable, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = _written(reached.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = written(reached.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return seen
         if most_steps is not None and depth > most_steps:
             raise ValueError(f"nodes are left after {most_steps} steps")
         seen = seen.unionByName(frontier)
         if depth % 32 == 0:  # a plan of bounded size however deep the walk is
-            seen = _written(seen)
+            seen = written(seen)
 
 
 def descends(parent: Column, child: Column) -> Column:
@@ -49,12 +40,12 @@ def chain(pointers: DataFrame, start: str, prefix: str, most_steps: int | None =
     nothing new is reached; with most_steps, raises if the chain goes on beyond it.
     """
     kept = pointers.filter(F.startswith("next", F.lit(prefix))).select(F.col("node").alias("src"), F.col("next").alias("dst"))
-    jump = _written(kept.distinct())
-    seen = _written(pointers.filter(F.col("node") == start).select("node").distinct().withColumn("step", F.lit(0)))
+    jump = written(kept.distinct())
+    seen = written(pointers.filter(F.col("node") == start).select("node").distinct().withColumn("step", F.lit(0)))
     n, far = seen.count(), 1
     while True:
         reached = seen.join(jump, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("step") + far).alias("step"))
-        seen = _written(seen.unionByName(reached).groupBy("node").agg(F.min("step").alias("step")))
+        seen = written(seen.unionByName(reached).groupBy("node").agg(F.min("step").alias("step")))
         found = seen.agg(F.count(F.lit(1)), F.max("step")).head()
         if most_steps is not None and (found[1] or 0) > most_steps:
             raise ValueError(f"the chain goes on after {most_steps} steps")
@@ -62,7 +53,7 @@ def chain(pointers: DataFrame, start: str, prefix: str, most_steps: int | None =
             return seen
         n, far = found[0], 2 * far
         on = jump.select(F.col("src").alias("dst"), F.col("dst").alias("end"))
-        jump = _written(jump.join(on, "dst").select("src", F.col("end").alias("dst")).distinct())
+        jump = written(jump.join(on, "dst").select("src", F.col("end").alias("dst")).distinct())
 
 
 def two_levels(links: DataFrame, root: Column, is_part: Column, is_section: Column) -> DataFrame:

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from .scratch import written
+
 #: Passages for a question, and what is said where there is none.
 TOP = 6
 NO_HITS = "No passages found in the corpus for that query."
-QUERY_BLOCK = 512
+#: Numbers in a block of vectors, scores worked out at once, and rows that are worth a block.
+BLOCK_NUMBERS, SCORES, LEAST_ROWS = 1 << 22, 1 << 21, 1000
+
+#: From texts to vectors.
+Model = Callable[[list[str]], list[list[float]]]
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -23,58 +30,82 @@ def check_dimension(vectors: DataFrame, dim: int, col: str = "embedding") -> Dat
     return vectors.withColumn(col, F.when(F.size(col) == dim, F.col(col)).otherwise(F.raise_error(F.lit(f"vectors of {dim} numbers are expected"))))
 
 
+def _extent(vectors: DataFrame) -> tuple[int, int]:
+    """How many vectors there are, and their one length (0 if there are none)."""
+    n, low, high = vectors.agg(F.count(F.lit(1)), F.min(F.size("embedding")), F.max(F.size("embedding"))).head()
+    if low != high:
+        raise ValueError(f"vectors have lengths from {low} to {high}")
+    return n, high or 0
+
+
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k highest of each column, rows first on a tie; -inf is no score.  Column by column."""
+    if len(scores) > k:
+        least = np.partition(scores, -k, axis=0)[-k]
+        row, column = np.nonzero((scores >= least) & (scores > -np.inf))
+    else:
+        row, column = np.nonzero(scores > -np.inf)
+    order = np.lexsort((row, -scores[row, column], column))
+    row, column = row[order], column[order]
+    first = np.searchsorted(column, column)
+    kept = np.arange(len(column)) - first < k
+    return row[kept], column[kept]
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP, query_filter: str | None = None) -> DataFrame:
     """query_id, id, score, rank of the k nearest of each query by dot product, ties by id.
 
-    queries(query_id, embedding[, query_filter]) go in blocks of QUERY_BLOCK: each block is broadcast, every task
-    keeps k of its own rows a query (matrix product on Arrow batches), and one window takes the best of those.
+    Queries(query_id, embedding[, query_filter]) and vectors(id, embedding[, query_filter]) are cut into blocks of about
+    BLOCK_NUMBERS numbers by hashes; a task multiplies one block of each and keeps k of its rows a query, and one
+    window takes the best of those.  The plan is the same for any number of either; the driver sees counts only.
     With query_filter, a query sees only vectors whose column of that name equals its own (null: all).  Ids are integers
-    or strings; a null vector is near nothing.
+    or strings; a null vector is near nothing; vectors of several lengths are an error; queries of equal id (or null
+    ids) are ranked together.
     """
-    spark, out = vectors.sparkSession, None
-    wanted = queries.select("query_id", "embedding", (F.col(query_filter) if query_filter else F.lit(None)).cast("string").alias("f")).orderBy("query_id")
-    narrow = vectors.select("id", "embedding", (F.col(query_filter) if query_filter else F.lit(None)).cast("string").alias("f"))
-    schema = T.StructType([queries.schema["query_id"], narrow.schema["id"], T.StructField("score", T.DoubleType())])
-    kind = lambda f: {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16()}.get(f.dataType.simpleString(), pa.string())
-    kinds_out = [kind(schema[0]), kind(schema[1]), pa.float64()]
-    narrow, wanted = narrow.filter("embedding is not null"), wanted.filter("embedding is not null")
-
-    def search(rows: list) -> DataFrame:
-        ids, matrix = [r.query_id for r in rows], np.array([r.embedding for r in rows], np.float64)
-        filters = [r.f for r in rows]
-        shared = spark.sparkContext.broadcast((ids, matrix, filters))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, matrix, filters = shared.value
-            best: list[list] = [[] for _ in ids]
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                values = batch.column(1)
-                m = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                scores, names, kinds = m @ matrix.T, batch.column(0).to_pylist(), np.array(batch.column(2).to_pylist(), object)
-                for q, f in enumerate(filters):
-                    s = scores[:, q] if f is None else np.where(kinds == f, scores[:, q], -np.inf)
-                    near = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
-                    found = [(-s[i], names[i]) for i in near.tolist() if s[i] > -np.inf]
-                    best[q] = sorted(best[q] + found)[:k]
-            flat = [(ids[q], name, -s) for q, b in enumerate(best) for s, name in b]
-            columns = [[x[0] for x in flat], [x[1] for x in flat], [float(x[2]) for x in flat]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds_out, strict=True)], ["query_id", "id", "score"])
-
-        return narrow.mapInArrow(run, schema)
-
-    block: list = []
-    for r in wanted.toLocalIterator():
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            part, block = search(block), []
-            out = part if out is None else out.unionByName(part)
-    if block or out is None:
-        part = search(block) if block else spark.createDataFrame([], schema)
-        out = part if out is None else out.unionByName(part)
+    narrow = lambda df, key: df.select(key, "embedding", (F.col(query_filter) if query_filter else F.lit(None)).cast("string").alias("f")).filter("embedding is not null")
+    asked, stored = narrow(queries, "query_id"), narrow(vectors, "id")
+    (n_asked, dim), (n_stored, other) = _extent(asked), _extent(stored)
+    if dim and other and dim != other:
+        raise ValueError(f"queries have {dim} numbers, vectors {other}")
+    spread = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = lambda n, least: max(least, -(-n * max(dim, 1) // BLOCK_NUMBERS))
+    left, right = blocks(n_asked, 1), blocks(n_stored, min(spread, -(-n_stored // LEAST_ROWS)) or 1)
+    schema = T.StructType([asked.schema["query_id"], stored.schema["id"], T.StructField("score", T.DoubleType())])
+
+    def block(key: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(key, "embedding"), F.lit(n))
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = asked.withColumn("a", block("query_id", left)).withColumn("b", every(right)).groupBy("a", "b")
+    b = stored.withColumn("b", block("id", right)).withColumn("a", every(left)).groupBy("a", "b")
+
+    def numbers(column: pa.ChunkedArray) -> np.ndarray:
+        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+    def search(asked: pa.Table, stored: pa.Table) -> pa.Table:
+        names = pa.schema([("query_id", asked.schema.field("query_id").type), ("id", stored.schema.field("id").type), ("score", pa.float64())])
+        if not asked.num_rows or not stored.num_rows:
+            return names.empty_table()
+        stored = stored.sort_by("id")
+        q, wanted = numbers(asked["embedding"]), np.array(asked["f"].to_pylist(), object)
+        found: list[tuple] = []
+        step = max(1, SCORES // len(q))
+        for at in range(0, stored.num_rows, step):
+            part = stored.slice(at, step)
+            scores = numbers(part["embedding"]) @ q.T
+            if query_filter:
+                there = np.array(part["f"].to_pylist(), object)
+                scores[(there[:, None] != wanted[None, :]) & np.array([f is not None for f in wanted])[None, :]] = -np.inf
+            row, column = _best(scores, k)
+            found.append((row + at, column, scores[row, column]))
+        row, column, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((row, -score, column))
+        row, column, score = row[order], column[order], score[order]
+        kept = np.arange(len(row)) - np.searchsorted(column, column) < k
+        return pa.table([asked["query_id"].take(pa.array(column[kept])), stored["id"].take(pa.array(row[kept])), pa.array(score[kept])], schema=names)
+
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return a.cogroup(b).applyInArrow(search, schema).withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def context(hits: DataFrame, queries: DataFrame) -> DataFrame:
@@ -96,29 +127,57 @@ def sources(hits: DataFrame) -> DataFrame:
     return hits.withColumn("__r", F.row_number().over(first)).filter("__r = 1").drop("__r")
 
 
-def retrieve(questions: DataFrame, stored: DataFrame, model: Callable[[list[str]], list[list[float]]], dim: int, k: int = TOP, filter_col: str | None = None) -> DataFrame:
-    """From questions (query_id, question[, filter_col]) to passages in one call: embed, search, assemble.
+def retrieve(questions: DataFrame, stored: DataFrame, model: Model, dim: int, k: int = TOP, filter_col: str | None = None) -> DataFrame:
+    """From questions (query_id, question[, filter_col]) to passages in one call: embed (once, to a written table), search, assemble.
 
     stored(id, embedding, text, citation, source_type, source_url); its vectors must have dim numbers.
     """
-    asked = embed(questions.withColumnRenamed("question", "text"), model).drop("text")
+    asked = written(embed(questions.withColumnRenamed("question", "text"), model).drop("text"), "questions")
     near = top_k(asked, check_dimension(stored, dim), k, filter_col)
     return context(near.join(stored.drop("embedding"), "id"), questions)
 
 
-def embed(df: DataFrame, model: Callable[[list[str]], list[list[float]]], text_col: str = "text") -> DataFrame:
-    """df with `embedding`, a batch of texts at a time by any function that gives vectors."""
-    at = df.columns.index(text_col)
-    names = df.columns
+#: The model of each embed() call in this Python worker; one at a time.
+_MODELS: dict[str, Model] = {}
+
+
+def _model(name: str, factory: Callable[[], Model]) -> Model:
+    if name not in _MODELS:
+        _MODELS.clear()
+        _MODELS[name] = factory()
+    return _MODELS[name]
+
+
+def embed(df: DataFrame, model: Model | None = None, text_col: str = "text", factory: Callable[[], Model] | None = None) -> DataFrame:
+    """df with `embedding`, a batch of texts at a time, null as an empty text.
+
+    model: a function from texts to vectors, sent along with the task.  factory: makes such a function where it is needed,
+    once in each Python worker whatever the number of its tasks and batches, for models that are dear to load.
+    """
+    if (model is None) == (factory is None):
+        raise ValueError("give a model or a factory")
+    at, names, name = df.columns.index(text_col), df.columns, uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors_of = model or _model(name, factory)
         for batch in batches:
-            vectors = model([t or "" for t in batch.column(at).to_pylist()])
+            vectors = vectors_of([t or "" for t in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([[float(x) for x in v] for v in vectors], pa.list_(pa.float32()))], [*names, "embedding"])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))]))
 
 
+def embed_hashed(df: DataFrame, dim: int = 64, text_col: str = "text") -> DataFrame:
+    """df with `embedding` without a model and without Python: hashed counts of words, of unit length (zero for no words)."""
+    from pyspark.ml.feature import HashingTF, Normalizer
+    from pyspark.ml.functions import vector_to_array
+
+    words = F.filter(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"\s+"), lambda w: w != "")
+    counted = HashingTF(numFeatures=dim, inputCol="__words", outputCol="__counts").transform(df.withColumn("__words", words))
+    unit = Normalizer(p=2.0, inputCol="__counts", outputCol="__unit").transform(counted)
+    return unit.withColumn("embedding", vector_to_array("__unit", "float32")).drop("__words", "__counts", "__unit")
+
+
 def hashed_embedding(texts: list[str], dim: int = 64) -> list[list[float]]:
     """Offline stand-in for a model: signed hashed words, of unit length."""
     import zlib

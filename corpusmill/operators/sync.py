@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 
 def classify(listing: DataFrame, prior: DataFrame) -> DataFrame:
@@ -77,10 +77,18 @@ def write_touched(df: DataFrame, path: str, partition: str = "collection") -> No
 
 
 def drop_collection(stored: DataFrame, collection: str) -> DataFrame:
-    """All but one collection (write_touched() doesn't remove a partition that has no rows left)."""
+    """All but one collection."""
     return stored.filter(~F.col("collection").eqNullSafe(F.lit(collection)))
 
 
+def delete_collection(spark: SparkSession, path: str, collection: str, partition: str = "collection") -> bool:
+    """Remove a collection's partition from a table that is partitioned by it; False if there was none."""
+    jvm = spark.sparkContext._jvm
+    name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(collection)
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{partition}={name}")
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def matched_rows(stored: DataFrame, stale: DataFrame, keys: list[str]) -> DataFrame:
     """How many rows prune() takes away, by the first key."""
     return stored.join(stale.select(*keys).distinct(), keys, "left_semi").groupBy(keys[0]).agg(F.count(F.lit(1)).alias("deleted"))

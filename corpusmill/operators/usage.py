@@ -28,6 +28,11 @@ def recordable(events: DataFrame) -> DataFrame:
     return events.filter(~F.coalesce(empty_chat, F.lit(False))).withColumn("mode", F.when(F.col("kind") == "chat", F.col("mode")))
 
 
+def append_by_day(events: DataFrame, path: str, ts: str = "created_at") -> None:
+    """Add metered events to a table partitioned by day, so that trailing windows read their days only."""
+    events.withColumn("day", F.to_date(ts)).write.mode("append").partitionBy("day").parquet(path)
+
+
 def trailing(events: DataFrame, as_of: dt.datetime, days: int, ts: str = "created_at") -> DataFrame:
     days = max(LEAST_DAYS, min(days, MOST_DAYS))
     since = as_of - dt.timedelta(days=days)

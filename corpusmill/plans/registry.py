@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import exprs as X
 from ..operators import chunking, dom, frontier, guard, html, retrieval, rollups, scope, sync, usage
+from ..operators.scratch import written
 from ..sources.files import prices
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -272,8 +273,8 @@ def context_pack(spark, sf_dir):
 
 @query()
 def embed_topk(spark, sf_dir):
-    """Hashed embeddings of all documents, then the nearest of every fiftieth document."""
-    d = retrieval.embed(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), retrieval.hashed_embedding).drop("text")
+    """Hashed embeddings of all documents, worked out once, then the nearest of every fiftieth document."""
+    d = written(retrieval.embed(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), factory=lambda: retrieval.hashed_embedding).drop("text"), "vectors")
     return retrieval.top_k(d.filter("id % 50 = 0").withColumnRenamed("id", "query_id"), d)
 
 

@@ -1,9 +1,7 @@
-"""Streams: daily usage windows, stateful deduplication, and file arrival with upserts."""
+"""Streams of usage: new files, daily windows, stateful deduplication, and the table that they are added to."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -27,7 +25,7 @@ def once_each(events: DataFrame, key: str = "id", late: str = "1 hour") -> DataF
     return events.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", late).dropDuplicatesWithinWatermark([key])
 
 
-def sync(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Apply a batch function to new files: at an interval, or once to all there is.  Batches never overlap."""
-    writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+def store_by_day(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Add the events that there are to a table partitioned by day; each batch's files are committed once."""
+    by_day = events.withColumn("day", F.to_date("created_at"))
+    return by_day.writeStream.partitionBy("day").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
