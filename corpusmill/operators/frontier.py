@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .html import link_tail
 from .scratch import written
 
 
@@ -33,6 +34,48 @@ def descends(parent: Column, child: Column) -> Column:
     return F.startswith(child, F.concat(parent, F.lit("_"))) & (child != parent)
 
 
+#: What the names of containers have in them, and what those of sections have.
+CONTAINERS, SECTION = ("_title_", "_subtitle_", "_subchapter_", "_chapter_", "_part_", "_division_", "_article_"), "_section_"
+
+
+def discover(links: DataFrame, codes: DataFrame, captured: DataFrame, most_steps: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Walk the captured pages of several codes at once, downward from their seeds: containers and sections found.
+
+    links(src, dst) are the resolved links of pages, codes(code, root, seed) has a row for each seed, captured(url) are the pages
+    there are.  From a page of a code, links go on to containers whose name has the code's root and strictly extends the page's own,
+    and give sections whose name has the root.  Each page is visited once a code.  Containers: code, url, depth, failed (no
+    such page was captured).  Sections: code, url, depth, the least depth of a page that links it.
+    """
+    there = captured.select("url").distinct()
+    roots = codes.select("code", "root").distinct()
+    links = links.select(F.col("src").alias("url"), "dst").distinct()
+    step = codes.select("code", F.col("seed").alias("url")).distinct().withColumn("depth", F.lit(0))
+    containers = frontier = written(step, "frontier")
+    holds = lambda marks, tail: F.coalesce(*(F.when(F.contains(tail, F.lit(m)), True) for m in marks), F.lit(False))
+    out = lambda f: f.join(there, "url", "left_semi").join(roots, "code").join(links, "url").filter(F.contains(link_tail(F.col("dst")), F.col("root")))
+    for depth in count(1):
+        own, child = link_tail(F.col("url")), link_tail(F.col("dst"))
+        down = out(frontier).filter(holds(CONTAINERS, child) & ~F.contains(child, F.lit(SECTION)) & (child != own) & F.startswith(child, own))
+        reached = down.select("code", F.col("dst").alias("url")).distinct()
+        frontier = written(reached.join(containers, ["code", "url"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
+        if frontier.isEmpty():
+            break
+        if most_steps is not None and depth > most_steps:
+            raise ValueError(f"containers are left after {most_steps} steps")
+        containers = containers.unionByName(frontier)
+        if depth % 32 == 0:
+            containers = written(containers, "containers")
+    sections = out(containers).filter(F.contains(link_tail(F.col("dst")), F.lit(SECTION))).groupBy("code", F.col("dst").alias("url")).agg(F.min("depth").alias("depth"))
+    failed = containers.join(there.withColumn("__there", F.lit(True)), "url", "left").select("code", "url", "depth", F.col("__there").isNull().alias("failed"))
+    return failed, sections
+
+
+def within_quota(sections: DataFrame, most: int, key: str = "code") -> DataFrame:
+    """The first sections of each code by depth and name, those that are skipped or fail included in the number."""
+    place = F.row_number().over(W.partitionBy(key).orderBy("depth", "url"))
+    return sections.withColumn("place", place).filter(F.col("place") <= most)
+
+
 def chain(pointers: DataFrame, start: str, prefix: str, most_steps: int | None = None) -> DataFrame:
     """Successors from a start while the name keeps the prefix: node, step.  pointers(node, next).
 

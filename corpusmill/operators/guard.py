@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .dom import let
+
 #: Refusals, thresholds, response schema, and the patterns that are masked.
 REFUSALS = {"grounding": "The answer could not be grounded in the sources.", "topic": "This topic is outside what can be answered.", "content": "This request or answer can't be shown."}
 LEAST_GROUNDING, LEAST_RELEVANCE = 0.75, 0.5
 _ENTRY = "array<struct<name:string,type:string,filterStrength:string,action:string,match:string,score:double>>"
 SCHEMA = f"struct<action:string,assessments:array<struct<contextualGroundingPolicy:struct<filters:{_ENTRY}>,topicPolicy:map<string,{_ENTRY}>,contentPolicy:map<string,{_ENTRY}>,wordPolicy:map<string,{_ENTRY}>,sensitiveInformationPolicy:struct<piiEntities:{_ENTRY},regexes:{_ENTRY}>>>,outputs:array<struct<text:string>>>"
 PII = {
-    "ssn": r"\b\d{3}-\d{2}-\d{4}\b", "routing": r"(?i)\brouting(?: number| no\.?)?[:# ]+\d{9}\b", "account": r"(?i)\baccount(?: number| no\.?)?[:# ]+\d{6,17}\b",
+    "ssn": r"\b[0-8]\d{2}-\d{2}-\d{4}\b", "itin": r"\b9\d{2}-\d{2}-\d{4}\b", "routing": r"(?i)\brouting(?: number| no\.?)?[:# ]+\d{9}\b", "account": r"(?i)\baccount(?: number| no\.?)?[:# ]+\d{6,17}\b",
     "cvv": r"(?i)\bcvv2?[:# ]+\d{3,4}\b", "pin": r"(?i)\bpin[:# ]+\d{4,6}\b", "password": r"(?i)\bpassword[:= ]+\S+",
 }
 CARD = r"\b(?:\d[ -]?){12,18}\d\b"
@@ -61,17 +63,51 @@ def luhn(number: Column) -> Column:
     return F.aggregate(F.transform(digits, lambda d, i: twice(d.cast("int"), i)), F.lit(0), lambda a, d: a + d) % 10 == 0
 
 
+def pii_spans(text: Column) -> Column:
+    """Where financial data is, as (start, end, kind) in order, characters from 0, end exclusive.
+
+    All kinds are found in the text as it is; card numbers must add up.  Spans that overlap become one, of the kind of the
+    one that begins first, the longer one on a tie, then the earlier kind of the list.
+    """
+    kinds = {**PII, "card": CARD}
+
+    def found(k: int, kind: str, pattern: str) -> Column:
+        matches, gaps = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1), F.split(text, pattern)
+        ends = F.aggregate(
+            F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"))), F.array().cast("array<int>"),
+            lambda done, x: F.when(x["m"].isNull(), done).otherwise(F.concat(done, F.array(F.coalesce(F.element_at(F.when(F.size(done) > 0, done), -1), F.lit(0)) + x["g"] + x["m"]))),
+        )
+        spans = F.zip_with(ends, matches, lambda e, m: F.struct((e - F.length(m)).alias("start"), (-e).alias("last"), F.lit(k).alias("order"), F.lit(kind).alias("kind"), m.alias("m")))
+        return F.filter(spans, lambda s: luhn(s["m"])) if kind == "card" else spans
+
+    every = F.array_sort(F.concat(*(found(k, kind, pattern) for k, (kind, pattern) in enumerate(kinds.items()))))
+
+    def joined(done: Column, s: Column) -> Column:
+        new = F.struct(s["start"].alias("start"), (-s["last"]).alias("end"), s["kind"].alias("kind"))
+
+        def against(last: Column) -> Column:
+            longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], new["end"]).alias("end"), last["kind"].alias("kind"))
+            return F.when(last.isNull() | (last["end"] <= s["start"]), F.concat(done, F.array(new))).otherwise(F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer)))
+
+        return let(F.element_at(F.when(F.size(done) > 0, done), -1), against)
+
+    none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
+    return F.when(text.rlike("|".join(kinds.values())), F.aggregate(every, none, joined)).otherwise(none)
+
+
 def pii_counts(text: Column) -> dict[str, Column]:
-    t = F.coalesce(text, F.lit(""))
-    cards = F.filter(F.regexp_extract_all(t, F.lit(f"({CARD})"), 1), luhn)
-    return {**{f"n_{k}": F.regexp_count(t, F.lit(p)).cast("long") for k, p in PII.items()}, "n_card": F.size(cards).cast("long")}
+    """How many spans of each kind mask_pii() replaces; a null text has none."""
+    spans = pii_spans(F.coalesce(text, F.lit("")))
+    counted = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+    return {f"n_{kind}": counted(kind) for kind in (*PII, "card")}
 
 
 def mask_pii(text: Column) -> Column:
     """Financial data replaced by its kind; names, mail, phone and address stay."""
-    out = text
-    cards = F.array_distinct(F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({CARD})"), 1), luhn))
-    out = F.aggregate(cards, out, lambda t, c: F.replace(t, c, F.lit("{CARD}")))
-    for kind, pattern in PII.items():
-        out = F.regexp_replace(out, pattern, "{" + kind.upper() + "}")
-    return out
+
+    def masked(spans: Column) -> Column:
+        after = lambda i: F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(0)
+        pieces = F.transform(spans, lambda s, i: F.concat(F.substr(text, after(i) + 1, s["start"] - after(i)), F.lit("{"), F.upper(s["kind"]), F.lit("}")))
+        return F.concat(F.array_join(pieces, ""), F.substr(text, F.coalesce(F.element_at(F.when(F.size(spans) > 0, spans), -1)["end"], F.lit(0)) + 1))
+
+    return let(pii_spans(text), masked)

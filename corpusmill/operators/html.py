@@ -61,10 +61,48 @@ def links(df: DataFrame, html_col: str = "html") -> DataFrame:
     return df.select(*(c for c in df.columns if c != html_col), F.posexplode(F.array_distinct(F.regexp_extract_all(html_col, F.lit(r'href="([^"]+)"'), 1))).alias("pos", "href"))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path with its `.` and `..` parts worked out; more `..` than there are folders stay at the top."""
+    parts, last = F.split(path, "/"), F.element_at(F.split(path, "/"), -1)
+    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+    step = lambda done, p: F.when(p == ".", done).when(p == "..", up(done)).otherwise(F.concat(done, F.array(p)))
+    kept = F.aggregate(F.slice(parts, 2, 1 << 20), F.array().cast("array<string>"), step)
+    whole = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), whole).otherwise(path)
+
+
 def resolve(base: Column, href: Column) -> Column:
-    """Absolute form of a link on a page."""
-    origin, folder = F.regexp_extract(base, r"^([a-z]+://[^/?#]+)", 1), F.regexp_extract(base, r"^([a-z]+://[^?#]*/)", 1)
-    return F.when(href.rlike("^[a-z][a-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.split_part(base, F.lit("//"), F.lit(1)), href)).when(href.startswith("/"), F.concat(origin, href)).otherwise(F.concat(folder, href))
+    """Absolute form of a link on a page, by the rules of relative references."""
+    origin, path = F.regexp_extract(base, r"^([a-z][a-z0-9+.-]*://[^/?#]*)", 1), F.regexp_extract(base, r"^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    plain, query = F.regexp_extract(href, r"^([^?#]*)", 1), F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path, r"^(.*/)", 1), F.lit("")), F.lit("/"))
+    return (
+        F.when(href.rlike("^[a-z][a-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.split_part(base, F.lit("//"), F.lit(1)), href))
+        .when(href == "", base).when(href.startswith("#"), F.concat(F.regexp_extract(base, "^([^#]*)", 1), href)).when(href.startswith("?"), F.concat(F.regexp_extract(base, "^([^?#]*)", 1), href))
+        .when(href.startswith("/"), F.concat(origin, _without_dots(plain), query)).otherwise(F.concat(origin, _without_dots(F.concat(folder, plain)), query))
+    )
+
+
+def link_tail(url: Column) -> Column:
+    """The last part of a link's path."""
+    return F.regexp_extract(url, r"([^/]*)$", 1)
+
+
+def child_link(url: Column, root: Column, kind: str) -> Column:
+    """A child of this kind directly under a code's root: `<root>_<kind>_...`."""
+    return F.startswith(link_tail(url), F.concat(root, F.lit(f"_{kind}_")))
+
+
+def deep_link(url: Column, root: Column, mark: str) -> Column:
+    """A page of a code, at any depth, whose name has the mark."""
+    tail = link_tail(url)
+    return F.contains(tail, root) & F.contains(tail, F.lit(mark))
+
+
+def numbered_link(url: Column, prefix: Column) -> Column:
+    """A section of a flat code: `<prefix>_<digit...>`, which tells it from containers of the same prefix."""
+    tail, mark = link_tail(url), F.concat(prefix, F.lit("_"))
+    return F.startswith(tail, mark) & F.substr(tail, F.length(mark) + 1).rlike("^[0-9]")
 
 
 def trim_index(text: Column) -> Column:

@@ -5,13 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.exprs import LEAST_TEXT_LAYER, needs_ocr
+from .scratch import written
 
 
-def fingerprint(files: DataFrame, key: str) -> DataFrame:
-    """SHA-1 of the `path:size:mtime` lines of a group in path order (by parts).  One line a file, no content."""
+def numbered(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """rows with `number`, from 0 in the given order within each key.  No task holds a key's rows: they are range-sorted, and
+    each partition adds how many of the key the partitions before it have."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(parts, key, *order).sortWithinPartitions(key, *order).withColumn("__at", F.monotonically_increasing_id())
+    placed = written(placed.withColumn("__part", F.shiftright("__at", 33)), "numbered")
+    per = placed.groupBy(F.col(key).alias("__key"), "__part").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("__first"))
+    ahead = F.sum("n").over(W.partitionBy("__key").orderBy("__part").rowsBetween(W.unboundedPreceding, -1))  # a key has a row a partition at most
+    per = per.select("__key", F.col("__part").alias("__p"), "__first", F.coalesce(ahead, F.lit(0)).alias("__ahead"))
+    there = placed.join(per, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__p")))
+    return there.withColumn("number", F.col("__ahead") + F.col("__at") - F.col("__first")).drop("__at", "__part", "__key", "__p", "__first", "__ahead")
+
+
+#: Files whose lines are hashed together.
+FINGERPRINT_FILES = 10_000
+
+
+def fingerprint(files: DataFrame, key: str, most: int = FINGERPRINT_FILES) -> DataFrame:
+    """SHA-1 of the `path:size:mtime` lines of a group in path order (by parts).  One line a file, no content.
+
+    A group of more than `most` files has the SHA-1 of the SHA-1s of each `most` lines in turn, so no row holds more than so
+    many lines.  Null keys are one group.
+    """
     line = F.concat_ws(":", "path", F.col("size").cast("string"), F.col("mtime").cast("string"))
-    rows = F.sort_array(F.collect_list(F.struct(F.split("path", "/").alias("parts"), line.alias("line"))))
-    return files.groupBy(key).agg(F.sha1(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").cast("binary")).alias("fingerprint"), F.count(F.lit(1)).alias("n_files"))
+    lines = files.select(F.col(key).alias("key"), F.split("path", "/").alias("parts"), line.alias("line"))
+    sizes = written(lines.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n_files")), "sizes")
+    sized = lambda some: lines.join(sizes.filter(some), F.col("key").eqNullSafe(F.col("k"))).drop("k")
+
+    def digest(rows: DataFrame, *keys: str) -> DataFrame:
+        held = F.sort_array(F.collect_list(F.struct("parts", "line")))
+        return rows.groupBy(*keys).agg(F.sha1(F.array_join(F.transform(held, lambda r: r["line"]), "\n").cast("binary")).alias("fingerprint"))
+
+    small = digest(sized(F.col("n_files") <= most), "key", "n_files")
+    blocks = digest(numbered(sized(F.col("n_files") > most), "key", ["parts", "line"]).withColumn("block", F.floor(F.col("number") / most)), "key", "n_files", "block")
+    of_blocks = F.sort_array(F.collect_list(F.struct("block", "fingerprint")))
+    large = blocks.groupBy("key", "n_files").agg(F.sha1(F.array_join(F.transform(of_blocks, lambda b: b["fingerprint"]), "\n").cast("binary")).alias("fingerprint"))
+    return small.unionByName(large).select(F.col("key").alias(key), "fingerprint", "n_files")
 
 
 def folders(files: DataFrame, prefix: str) -> DataFrame:

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import exprs as X
-from ..operators import dockets, dom, html, sites, sync
-from .registry import query, table
+from ..functions import exprs as X, sql
+from ..operators import chunking, dockets, dom, sites, sync
+from .registry import document_files, query, table
 
 #: SQL: inner HTML of elements that hold no others, as text.
 _PLAIN = "trim(regexp_replace(replace(regexp_replace({0}, '&amp;?', '&', 'g'), '&quot;', '\"'), '\\s+', ' ', 'g'))"
@@ -136,3 +136,24 @@ def downloads_last_wins(spark, sf_dir):
     doc = F.struct(link(0).alias("href"), F.when(F.col("l_linenumber") % 3 > 0, name("f", 97)).alias("downloaded_path"), F.array(attachment).alias("attachments"))
     docket = i.groupBy(F.col("l_suppkey").alias("crn")).agg(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", F.array(doc).alias("documents")))).alias("docket_entries"))  # a docket is one page's entries
     return sync.previous_downloads(sync.flatten_docket(docket).select("crn", "href").distinct(), docket)
+
+
+# --- SQL -------------------------------------------------------------------------------------------------------
+
+
+@query()
+def chunk_sql(spark, sf_dir):
+    """The chunks of chunk_recursive, by a query in SQL."""
+    sql.register(spark)
+    chunking.sections(document_files(spark, sf_dir)).createOrReplaceTempView("corpusmill_blocks")
+    return spark.sql(sql.CHUNKS.format(blocks="corpusmill_blocks"))
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(lower(coalesce(source, '') || ' ' || lang || '!'), '[^a-z0-9]+', '-', 'g'), '-') AS slug, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END AS tokens,
+  substr(sha1(coalesce(source, '') || chr(0) || CAST(n_chars AS VARCHAR) || chr(0) || text), 1, 16) AS id, CAST((n_chars * 15 + doc_id * 75) AS DECIMAL(18,6)) / 1000000 AS cost FROM documents""")
+def sql_functions(spark, sf_dir):
+    """Every document through the functions registered for SQL."""
+    sql.register(spark)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("corpusmill_documents")
+    return spark.sql("""SELECT doc_id, slugify(concat(coalesce(source, ''), ' ', lang, '!')) AS slug, token_estimate(text) AS tokens, chunk_id(source, CAST(n_chars AS INT), text) AS id,
+        CAST(cost_usd(n_chars, doc_id, 15, 75) AS DOUBLE) AS cost FROM corpusmill_documents""")
