@@ -8,8 +8,8 @@
 3. What is linked so far is joined to components.  A bucket whose other classes aren't all in one component goes on, without
    classes that share too few shingles with all the others together: its classes are cut into blocks of about
    BLOCK_CLASSES, the pairs of a block are compared on full sets by a product of incidence matrices, components are joined
-   again, and then only classes outside their bucket's largest component are compared with the bucket.  So a large group of
-   near copies, once joined, isn't compared pair by pair.
+   again, and then only classes outside their bucket's largest component are compared with the components that they share a
+   bucket with.  So a large group of near copies, once joined, isn't compared pair by pair.
 
 Every pair of classes with a key in common is thus compared or already joined; a linked pair has none in common with
 probability of at most (1 - 0.85**6)**50, 6e-11.  Links are confirmed on full sets; shingles are compared by 64-bit hashes.
@@ -61,10 +61,17 @@ def _alike(a: str, b: str, percent: int) -> str:
     return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
 
+def _mains(spots: DataFrame) -> DataFrame:
+    """The component that most classes of each bucket are in: key, main, m (how many they are)."""
+    return spots.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "comp")).alias("x")).select("key", F.col("x.comp").alias("main"), "x.m")
+
+
 def _placed(spots: DataFrame) -> DataFrame:
-    """The block of each class: those whose largest bucket is the same are together, about BLOCK_CLASSES to a block."""
-    sizes = spots.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-    home = spots.join(sizes, "key").groupBy("class").agg(F.max(F.struct("m", "key")).alias("home")).select("class", F.col("home.key").alias("home"))
+    """The block of each class: those whose largest bucket has the same main component are together, about BLOCK_CLASSES to a block.
+
+    spots: key, class, main, m.
+    """
+    home = spots.groupBy("class").agg(F.max(F.struct("m", "main"))["main"].alias("home"))
     home = materialize(home, "homes")
     salt = F.pmod(F.xxhash64("class"), F.ceil(F.col("members") / BLOCK_CLASSES))
     return home.join(home.groupBy("home").agg(F.count(F.lit(1)).alias("members")), "home").select("class", F.xxhash64("home", salt).alias("block"))
@@ -72,18 +79,19 @@ def _placed(spots: DataFrame) -> DataFrame:
 
 def _inside_blocks(spots: DataFrame) -> DataFrame:
     """Groups for _multiply(): each block with itself."""
-    blocks = spots.join(_placed(spots), "class")
+    blocks = spots.join(_placed(spots.join(_mains(spots), "key")), "class")
     mixed = blocks.groupBy("key", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key", "block")
     found = blocks.join(mixed, ["key", "block"]).select(F.col("block").alias("a"), F.lit(0).alias("b"), "class").distinct()
     return found.withColumn("side", F.explode(F.array(F.lit("a"), F.lit("b"))))
 
 
 def _beside_the_main(spots: DataFrame) -> DataFrame:
-    """Groups for _multiply(): classes outside their bucket's main component, in blocks, with all classes of their buckets, in parts."""
-    most = spots.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "comp"))["comp"].alias("main"))
-    odd = materialize(spots.join(most, "key").filter("comp != main").select("key", "class"), "odd")
+    """Groups for _multiply(): classes outside their bucket's main component, in blocks, with all classes of the components that
+    they share a bucket with, in parts."""
+    odd = materialize(spots.join(_mains(spots), "key").filter("comp != main").select("key", "class", "main", "m"), "odd")
     blocks = materialize(_placed(odd), "blocks")
-    others = materialize(odd.join(blocks, "class").select(F.col("block").alias("a"), "key").distinct().join(spots.select("key", "class"), "key").select("a", "class").distinct(), "others")
+    near = odd.join(blocks, "class").select(F.col("block").alias("a"), "key").distinct().join(spots.select("key", "comp").distinct(), "key").select("a", "comp").distinct()
+    others = materialize(near.join(spots.select("class", "comp").distinct(), "comp").select("a", "class"), "others")
     parts = others.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES).cast("int").alias("parts"))
     right = others.join(parts, "a").select("a", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("b"), "class", F.lit("b").alias("side"))
     left = blocks.withColumnRenamed("block", "a").join(parts, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("b"), "class", F.lit("a").alias("side"))
@@ -110,10 +118,10 @@ def _multiply(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _may_link(spots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the spots, those of classes that share enough of their shingles with any other class of the spots at all."""
-    some = sets.join(spots.select("class").distinct(), "class")
-    alone = some.select("class", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("class").alias("class")).filter("m = 1").groupBy("class").agg(F.count(F.lit(1)).alias("alone"))
+    some = sets.join(spots.select("class").distinct(), "class").withColumn("short", F.xxhash64("class"))
+    alone = some.select("short", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("short").alias("short")).filter("m = 1").groupBy("short").agg(F.count(F.lit(1)).alias("alone"))
     n = F.size("tokens")
-    may = some.join(alone, "class", "left").filter(100 * (n - F.coalesce("alone", F.lit(0))) >= percent * n).select("class")
+    may = some.join(alone, "short", "left").filter(100 * (n - F.coalesce("alone", F.lit(0))) >= percent * n).select("class")
     return spots.join(may, "class")
 
 
