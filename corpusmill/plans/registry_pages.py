@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import exprs as X, sql
-from ..operators import chunking, dockets, dom, sites, sync
+from ..operators import chunking, dockets, dom, frontier, html, rollups, sites, sync
 from .registry import document_files, query, table
 
 #: SQL: inner HTML of elements that hold no others, as text.
@@ -157,3 +157,72 @@ def sql_functions(spark, sf_dir):
     table(spark, sf_dir, "documents").createOrReplaceTempView("corpusmill_documents")
     return spark.sql("""SELECT doc_id, slugify(concat(coalesce(source, ''), ' ', lang, '!')) AS slug, token_estimate(text) AS tokens, chunk_id(source, CAST(n_chars AS INT), text) AS id,
         CAST(cost_usd(n_chars, doc_id, 15, 75) AS DOUBLE) AS cost FROM corpusmill_documents""")
+
+
+# --- walks and digests -----------------------------------------------------------------------------------------
+
+
+_CODES = "'code' || (p_size % 3)"
+_TITLE, _CHAPTER = f"{_CODES} || '_title_' || (p_partkey % 5)", f"{_CODES} || '_title_' || (p_partkey % 5) || '_chapter_' || (p_partkey % 17)"
+_LINKED = f"""link AS (SELECT DISTINCT 'https://law.example/' || {_CODES} AS src, 'https://law.example/t/' || {_TITLE} AS dst FROM part
+  UNION SELECT 'https://law.example/t/' || {_TITLE}, 'https://law.example/t/c/' || {_CHAPTER} FROM part UNION SELECT 'https://law.example/t/' || {_TITLE}, 'https://law.example/' || {_CODES} FROM part
+  UNION SELECT 'https://law.example/t/c/' || {_CHAPTER}, 'https://law.example/s/' || {_CHAPTER} || '_section_' || p_partkey FROM part WHERE p_partkey % 17 % 6 > 0
+  UNION SELECT 'https://law.example/t/c/' || {_CHAPTER}, 'https://law.example/t/' || {_TITLE} FROM part WHERE p_partkey % 17 % 6 > 0)"""
+
+
+def _law_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages (url, html) of three codes made of the parts: tables of titles, of chapters, of sections; some chapters lack a page."""
+    p = table(spark, sf_dir, "part")
+    name = lambda *xs: F.concat(*(x if not isinstance(x, str) else F.lit(x) for x in xs))
+    s = lambda c: c.cast("string")
+    code = name("code", s(F.col("p_size") % 3))
+    title = name(code, "_title_", s(F.col("p_partkey") % 5))
+    chapter = name(title, "_chapter_", s(F.col("p_partkey") % 17))
+    there = p.filter("p_partkey % 17 % 6 > 0")
+    rows = (
+        p.select(name("https://law.example/", code).alias("url"), name("./t/../t/", title).alias("href")).union(p.select(name("https://law.example/t/", title), name("c/", chapter))).union(p.select(name("https://law.example/t/", title), name("../", code)))
+        .union(there.select(name("https://law.example/t/c/", chapter), name("../../s/", chapter, "_section_", s(F.col("p_partkey"))))).union(there.select(name("https://law.example/t/c/", chapter), name("/t/", title)))
+    ).distinct()
+    anchor = F.concat(F.lit('<a href="'), "href", F.lit('">x</a>'))
+    return rows.groupBy("url").agg(F.concat(F.lit("<nav>"), F.array_join(F.sort_array(F.collect_list(anchor)), "\n"), F.lit("</nav>")).alias("html"))  # a page's own links
+
+
+_TAIL = "regexp_extract({0}, '([^/]*)$', 1)"
+
+
+@query(f"""WITH RECURSIVE {_LINKED}, code AS (SELECT DISTINCT {_CODES} AS code, {_CODES} AS root, 'https://law.example/' || {_CODES} AS seed FROM part
+  UNION SELECT 'first title', 'code1', 'https://law.example/t/code1_title_1'),
+w AS (SELECT code, root, seed AS url, 0 AS depth FROM code UNION SELECT code, root, dst, depth + 1 FROM w JOIN link ON url = src
+  WHERE contains({_TAIL.format('dst')}, root) AND NOT contains(dst, '_section_') AND (contains(dst, '_title_') OR contains(dst, '_chapter_')) AND {_TAIL.format('dst')} <> {_TAIL.format('url')} AND starts_with({_TAIL.format('dst')}, {_TAIL.format('url')})),
+s AS (SELECT code, dst AS url, min(depth) AS depth FROM w JOIN link ON url = src WHERE contains({_TAIL.format('dst')}, root) AND contains(dst, '_section_') GROUP BY code, dst)
+SELECT code, url, CAST(depth AS INTEGER) AS depth, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY depth, url) AS place FROM s) WHERE place <= 200""")
+def discovered_sections(spark, sf_dir):
+    """A walk over the links harvested from pages, resolved, downward in four codes at once, with a quota for each."""
+    pages = _law_pages(spark, sf_dir)
+    found = html.links(pages).select(F.col("url").alias("src"), html.resolve(F.col("url"), F.col("href")).alias("dst"))
+    codes = table(spark, sf_dir, "part").select(F.concat(F.lit("code"), (F.col("p_size") % 3).cast("string")).alias("code")).distinct()
+    codes = codes.select("code", F.col("code").alias("root"), F.concat(F.lit("https://law.example/"), "code").alias("seed"))
+    one = spark.createDataFrame([("first title", "code1", "https://law.example/t/code1_title_1")], "code string, root string, seed string")
+    _, sections = frontier.discover(found, codes.unionByName(one), pages)
+    return frontier.within_quota(sections, 200)
+
+
+@query(f"""WITH RECURSIVE {_LINKED}, page AS (SELECT DISTINCT src FROM link), code AS (SELECT DISTINCT {_CODES} AS code, 'https://law.example/' || {_CODES} AS seed FROM part),
+w AS (SELECT code, seed AS url FROM code UNION SELECT code, dst FROM w JOIN link ON url = src WHERE contains({_TAIL.format('dst')}, code) AND NOT contains(dst, '_section_') AND starts_with({_TAIL.format('dst')}, {_TAIL.format('url')}) AND (contains(dst, '_title_') OR contains(dst, '_chapter_')))
+SELECT code, CAST(count(*) AS BIGINT) AS n_pages, CAST(count(*) FILTER (WHERE url NOT IN (SELECT src FROM page)) AS BIGINT) AS n_failed FROM w GROUP BY code""")
+def discovered_containers(spark, sf_dir):
+    """How many pages of each code a walk visits, and how many of them were never captured."""
+    pages = _law_pages(spark, sf_dir)
+    found = html.links(pages).select(F.col("url").alias("src"), html.resolve(F.col("url"), F.col("href")).alias("dst"))
+    codes = table(spark, sf_dir, "part").select(F.concat(F.lit("code"), (F.col("p_size") % 3).cast("string")).alias("code")).distinct()
+    containers, _ = frontier.discover(found, codes.select("code", F.col("code").alias("root"), F.concat(F.lit("https://law.example/"), "code").alias("seed")), pages)
+    return containers.groupBy("code").agg(F.count(F.lit(1)).alias("n_pages"), F.count_if("failed").alias("n_failed"))
+
+
+@query("""WITH l AS (SELECT source, lang || '/' || doc_id || ':' || n_chars || ':' || doc_id AS line, row_number() OVER (PARTITION BY source ORDER BY lang, CAST(doc_id AS VARCHAR)) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM documents),
+b AS (SELECT source, n, CASE WHEN n > 8 THEN k // 8 END AS block, sha1(string_agg(line, chr(10) ORDER BY k)) AS x FROM l GROUP BY ALL)
+SELECT source, CASE WHEN max(n) > 8 THEN sha1(string_agg(x, chr(10) ORDER BY block)) ELSE min(x) END AS fingerprint, max(n) AS n_files FROM b GROUP BY source""")
+def fingerprint_blocks(spark, sf_dir):
+    """Fingerprints of sources by blocks of eight files: no row holds a source, whatever its size."""
+    d = table(spark, sf_dir, "documents").select("source", F.concat_ws("/", "lang", F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("size"), F.col("doc_id").alias("mtime"))
+    return rollups.fingerprint(d, "source", 8)
