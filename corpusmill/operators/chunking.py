@@ -70,19 +70,21 @@ def numbered_pieces(blocks: DataFrame, text_col: str = "block", size: int = CHUN
     `before`, how many pieces the file's earlier blocks have.
 
     The blocks of a file come one after another out of sections(), which moves no rows, and the first has both
-    numbers 0; so the count runs along in the task, and no text is shuffled for it.
+    numbers 0; so the count runs along in the task, and no text is shuffled for it.  Blocks in any other order are an error.
     """
     names = blocks.columns
     at, section, subsection = (names.index(c) for c in (text_col, "section_no", "subsection_no"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = 0
+        before, last = 0, None
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part, earlier = batch.slice(lo, 256), []
                 cut = [split_recursive(t.strip(), size, overlap) if t and t.strip() else [] for t in part.column(at).to_pylist()]
                 for s, u, c in zip(part.column(section).to_pylist(), part.column(subsection).to_pylist(), cut, strict=True):
-                    before = before if s or u else 0
+                    if (s, u) != (0, 0) and (last is None or (s, u) not in ((last[0], last[1] + 1), (last[0] + 1, 0))):
+                        raise ValueError(f"block {s}.{u} of a file comes after {last}: its rows have been moved")
+                    before, last = before if s or u else 0, (s, u)
                     earlier.append(before)
                     before += len(c)
                 added = [pa.array(cut, pa.list_(pa.string())), pa.array(earlier, pa.int32())]

@@ -48,6 +48,37 @@ def curated(sections: DataFrame, topics: DataFrame, key: str, defaults: dict[str
     return joined.withColumns({c: F.coalesce(F.col(f"__{c}"), F.lit(v)) for c, v in defaults.items()}).drop(*(f"__{c}" for c in defaults))
 
 
+#: The chapter's two editions, the sections that the later one has, topics and stages of sections, and of all others.
+BASE_EDITION = ("https://www.cga.ct.gov/2023/pub/chap_815j.htm", "2023")
+SUPPLEMENT = ("https://www.cga.ct.gov/2024/sup/chap_815j.htm", "2024 supplement")
+SUPPLEMENTED = ("46b-44a", "46b-53", "46b-56e", "46b-67", "46b-82a", "46b-83", "46b-84")
+TOPICS = {
+    "46b-40": ("grounds-for-dissolution", "pre-filing"), "46b-44": ("residency-and-jurisdiction", "pre-filing"), "46b-44a": ("nonadversarial-dissolution", "pre-filing"), "46b-45": ("service-and-filing", "filing"),
+    "46b-56": ("custody-and-best-interests", "temporary-orders"), "46b-67": ("case-timing", "after-filing"), "46b-81": ("property-division", "judgment"), "46b-82": ("alimony", "judgment"),
+    "46b-82a": ("alimony-family-violence", "judgment"), "46b-83": ("temporary-alimony-and-support", "temporary-orders"), "46b-84": ("child-support", "temporary-orders"), "46b-86": ("postjudgment-modification", "postjudgment"),
+}
+OTHER_TOPIC, OTHER_STAGE = "dissolution", "trial"
+
+
+def editions(sections: DataFrame, supplemented: DataFrame, base: tuple[str, str], supplement: tuple[str, str], key: str = "section") -> DataFrame:
+    """Sections with the url and date of the edition that holds: the supplement's for those it has, else the base's."""
+    later = supplemented.select(F.col(key).alias("__k")).distinct()
+    there = sections.join(later, F.col(key) == F.col("__k"), "left")
+    pick = lambda k: F.when(F.col("__k").isNotNull(), supplement[k]).otherwise(base[k])
+    return there.withColumns({"url": pick(0), "date": pick(1)}).drop("__k")
+
+
+def statute_specs(sections: DataFrame) -> DataFrame:
+    """What is fetched for each section of the chapter, with its metadata."""
+    spark = sections.sparkSession
+    supplemented = spark.createDataFrame([(s,) for s in SUPPLEMENTED], "section string")
+    topics = spark.createDataFrame([(k, *v) for k, v in TOPICS.items()], "section string, topic string, stage string")
+    placed = curated(editions(sections, supplemented, BASE_EDITION, SUPPLEMENT), topics, "section", {"topic": OTHER_TOPIC, "stage": OTHER_STAGE})
+    named = lambda before, after="": F.concat(F.lit(before), "section", F.lit(after))
+    fixed = {"source_type": "statute", "authority_level": "primary", "jurisdiction": "Connecticut", "issuing_body": "Connecticut General Assembly"}
+    return placed.withColumns({"slug": named("cgs-"), "output_path": named("statutes/cgs-", ".txt"), "citation": named("Conn. Gen. Stat. § "), "title": named("CGS § "), **{k: F.lit(v) for k, v in fixed.items()}})
+
+
 def state_courts(registry: DataFrame) -> DataFrame:
     """slug, court of each court of each state; a null court where a state has none."""
     return registry.select("slug", F.explode_outer("courtlistener_courts").alias("court"))

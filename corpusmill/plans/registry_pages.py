@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import exprs as X, sql
-from ..operators import chunking, dockets, dom, frontier, html, rollups, sites, sync
+from ..operators import chunking, dockets, dom, frontier, html, rollups, scope, sites, sync
 from .registry import document_files, query, table
 
 #: SQL: inner HTML of elements that hold no others, as text.
@@ -226,3 +226,16 @@ def fingerprint_blocks(spark, sf_dir):
     """Fingerprints of sources by blocks of eight files: no row holds a source, whatever its size."""
     d = table(spark, sf_dir, "documents").select("source", F.concat_ws("/", "lang", F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("size"), F.col("doc_id").alias("mtime"))
     return rollups.fingerprint(d, "source", 8)
+
+
+_TOPICS = ", ".join(f"('{s}', '{t}', '{g}')" for s, (t, g) in scope.TOPICS.items())
+
+
+@query(f"""WITH s AS (SELECT p_partkey, '46b-' || (p_partkey % 60 + 40) || CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'a' ELSE 'e' END AS section FROM part), t(section, topic, stage) AS (VALUES {_TOPICS})
+SELECT p_partkey, 'cgs-' || section AS slug, CASE WHEN section IN {scope.SUPPLEMENTED} THEN '{scope.SUPPLEMENT[0]}' ELSE '{scope.BASE_EDITION[0]}' END AS url, CASE WHEN section IN {scope.SUPPLEMENTED} THEN '{scope.SUPPLEMENT[1]}' ELSE '{scope.BASE_EDITION[1]}' END AS date,
+  coalesce(topic, '{scope.OTHER_TOPIC}') AS topic, coalesce(stage, '{scope.OTHER_STAGE}') AS stage, 'Conn. Gen. Stat. § ' || section AS citation FROM s LEFT JOIN t USING (section)""")
+def statute_specs(spark, sf_dir):
+    """What is fetched for each section that the parts name: edition, topic and stage."""
+    letter = F.element_at(F.array(F.lit(""), F.lit("a"), F.lit("e")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("46b-"), (F.col("p_partkey") % 60 + 40).cast("string"), letter).alias("section"))
+    return scope.statute_specs(p).select("p_partkey", "slug", "url", "date", "topic", "stage", "citation")

@@ -59,16 +59,18 @@ def states(spark: SparkSession, registry: dict) -> DataFrame:
     return spark.createDataFrame(rows, empty.schema)
 
 
-def registry_file(path: str) -> dict:
-    """The `states` of a JSON registry file, or of a YAML one where a YAML reader is installed."""
-    with open(path, encoding="utf-8") as f:
-        if path.endswith(".json"):
-            return json.load(f)["states"]
-        try:
-            import yaml
-        except ModuleNotFoundError as e:
-            raise ModuleNotFoundError("reading a YAML registry needs a YAML package; give the registry as JSON") from e
-        return yaml.safe_load(f)["states"]
+def registry_file(spark: SparkSession, path: str) -> dict:
+    """The `states` of a JSON or YAML registry file, in any store that Spark reads; none if the file names none.
+
+    YAML is read by the reader that comes with Spark, plain data only.
+    """
+    text = spark.read.text(path, wholetext=True).head()[0]
+    if not path.endswith(".json"):
+        jvm = spark.sparkContext._jvm
+        snake = jvm.org.yaml.snakeyaml
+        data = snake.Yaml(snake.constructor.SafeConstructor(snake.LoaderOptions())).load(text)
+        text = jvm.com.fasterxml.jackson.databind.ObjectMapper().writeValueAsString(data)
+    return (json.loads(text) or {}).get("states") or {}
 
 
 def state_codes(registry: DataFrame) -> DataFrame:

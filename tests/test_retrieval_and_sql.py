@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import sql
 from corpusmill.operators import chunking, frontier, guard, html, retrieval, rollups
 from corpusmill.plans import registry
+from corpusmill.sources import files
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -218,3 +219,42 @@ def test_discovery_over_links(spark):
     assert sorted((x.code, x.place) for x in frontier.within_quota(sections, 1).collect()) == [("all", 1), ("one", 1), ("two", 1)]
     with pytest.raises(ValueError, match="left after 1 steps"):
         frontier.discover(spark.createDataFrame(links, "src string, dst string"), codes, captured, 1)
+
+
+YAML = """# registry
+states:
+  ny:
+    name: New York
+    public_law_subdomain: newyork
+    statutes:
+      - code_root: n.y._law
+        citation_format: "N.Y. Law § {section}"
+        articles: null
+    courtlistener_courts: [ny, nyappdiv]   # two
+  tx:
+    name: Texas
+    fetcher: other
+"""
+
+
+def test_registry_from_yaml_and_json(spark, tmp_path):
+    (tmp_path / "s.yaml").write_text(YAML)
+    (tmp_path / "s.json").write_text('{"states": {"ny": {"name": "New York"}}}')
+    (tmp_path / "none.yaml").write_text("# nothing\n")
+    (tmp_path / "bad.yaml").write_text("states: !!javax.script.ScriptEngineManager [x]\n")
+    given = files.registry_file(spark, str(tmp_path / "s.yaml"))
+    states = {r.slug: r for r in files.states(spark, given).collect()}
+    assert states["ny"].statutes[0].citation_format == "N.Y. Law § {section}" and states["ny"].statutes[0].layout == "ny_article" and states["ny"].courtlistener_courts == ["ny", "nyappdiv"]
+    assert states["tx"].fetcher == "other" and states["tx"].statutes == [] and states["ny"].fetcher == "public_law"
+    assert files.registry_file(spark, str(tmp_path / "s.json")) == {"ny": {"name": "New York"}} and files.registry_file(spark, str(tmp_path / "none.yaml")) == {}
+    with pytest.raises(Exception, match="not allowed|ConstructorException|Global tag"):
+        files.registry_file(spark, str(tmp_path / "bad.yaml"))
+
+
+def test_blocks_out_of_order_are_an_error(spark):
+    text = "Sec. 1-1. One.\n(a) x\n(b) y\nSec. 1-2. Two.\nz"
+    made = spark.createDataFrame([("a", "statute", "c", None, None, text), ("b", "statute", "c", None, None, text)], "source_path string, source_type string, citation string, title string, section string, text string")
+    blocks = chunking.sections(made)
+    assert chunking.numbered_pieces(blocks.coalesce(1)).count() == 6
+    with pytest.raises(Exception, match="rows have been moved"):
+        chunking.numbered_pieces(blocks.coalesce(1).sortWithinPartitions(F.desc("section_no"))).collect()
