@@ -5,9 +5,9 @@
    many hashes are computed as by minima alone.  PAIRS permutations make a band; each band is one 64-bit key.
 2. Classes that share a key are candidates.  Keys with the same classes are one bucket.  The least class of a bucket is its
    pivot; each other class is compared with it on full sets, in the JVM.
-3. What is linked so far is joined to components.  A bucket whose other classes aren't all in one component goes on, without
-   classes that share too few shingles with all the others together: its classes are cut into blocks of about
-   BLOCK_CLASSES, the pairs of a block are compared on full sets by a product of incidence matrices, components are joined
+3. What is linked so far is joined to components.  A bucket whose other classes aren't all in one component goes on.  Classes whose
+   buckets lead to the same least pivot are a family; families are cut into blocks of about BLOCK_CLASSES (from those of
+   several blocks, classes that share too few shingles with all others together drop out).  The pairs of a block are compared on full sets by a product of incidence matrices, components are joined
    again, and then only classes outside their bucket's largest component are compared with the components that they share a
    bucket with.  So a large group of near copies, once joined, isn't compared pair by pair.
 
@@ -61,25 +61,21 @@ def _alike(a: str, b: str, percent: int) -> str:
     return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
 
-def _mains(spots: DataFrame) -> DataFrame:
-    """The component that most classes of each bucket are in: key, main, m (how many they are)."""
-    return spots.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "comp")).alias("x")).select("key", F.col("x.comp").alias("main"), "x.m")
+def _families(spots: DataFrame) -> DataFrame:
+    """class, home, members: classes whose buckets lead to the same least pivot are a family, home, of so many."""
+    home = materialize(spots.groupBy("class").agg(F.min("pivot").alias("home")), "homes")
+    return home.join(home.groupBy("home").agg(F.count(F.lit(1)).alias("members")), "home").select("class", "home", "members")
 
 
 def _placed(spots: DataFrame) -> DataFrame:
-    """The block of each class: those whose largest bucket has the same main component are together, about BLOCK_CLASSES to a block.
-
-    spots: key, class, main, m.
-    """
-    home = spots.groupBy("class").agg(F.max(F.struct("m", "main"))["main"].alias("home"))
-    home = materialize(home, "homes")
+    """The block of each class: families are cut into blocks of about BLOCK_CLASSES."""
     salt = F.pmod(F.xxhash64("class"), F.ceil(F.col("members") / BLOCK_CLASSES))
-    return home.join(home.groupBy("home").agg(F.count(F.lit(1)).alias("members")), "home").select("class", F.xxhash64("home", salt).alias("block"))
+    return _families(spots).select("class", F.xxhash64("home", salt).alias("block"))
 
 
 def _inside_blocks(spots: DataFrame) -> DataFrame:
     """Groups for _multiply(): each block with itself."""
-    blocks = spots.join(_placed(spots.join(_mains(spots), "key")), "class")
+    blocks = spots.join(_placed(spots), "class")
     mixed = blocks.groupBy("key", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key", "block")
     found = blocks.join(mixed, ["key", "block"]).select(F.col("block").alias("a"), F.lit(0).alias("b"), "class").distinct()
     return found.withColumn("side", F.explode(F.array(F.lit("a"), F.lit("b"))))
@@ -88,7 +84,8 @@ def _inside_blocks(spots: DataFrame) -> DataFrame:
 def _beside_the_main(spots: DataFrame) -> DataFrame:
     """Groups for _multiply(): classes outside their bucket's main component, in blocks, with all classes of the components that
     they share a bucket with, in parts."""
-    odd = materialize(spots.join(_mains(spots), "key").filter("comp != main").select("key", "class", "main", "m"), "odd")
+    mains = spots.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "comp"))["comp"].alias("main"))
+    odd = materialize(spots.join(mains, "key").filter("comp != main").select("key", "class", "pivot"), "odd")
     blocks = materialize(_placed(odd), "blocks")
     near = odd.join(blocks, "class").select(F.col("block").alias("a"), "key").distinct().join(spots.select("key", "comp").distinct(), "key").select("a", "comp").distinct()
     others = materialize(near.join(spots.select("class", "comp").distinct(), "comp").select("a", "class"), "others")
@@ -117,12 +114,14 @@ def _multiply(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _may_link(spots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the spots, those of classes that share enough of their shingles with any other class of the spots at all."""
-    some = sets.join(spots.select("class").distinct(), "class").withColumn("short", F.xxhash64("class"))
+    """Without the classes of families of several blocks that share too few shingles with all other classes of their buckets."""
+    large = _families(spots).filter(F.col("members") > BLOCK_CLASSES).select("class")
+    keys = spots.join(large, "class").select("key").distinct()
+    some = sets.join(spots.join(keys, "key").select("class").distinct(), "class").withColumn("short", F.xxhash64("class"))
     alone = some.select("short", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("short").alias("short")).filter("m = 1").groupBy("short").agg(F.count(F.lit(1)).alias("alone"))
     n = F.size("tokens")
-    may = some.join(alone, "short", "left").filter(100 * (n - F.coalesce("alone", F.lit(0))) >= percent * n).select("class")
-    return spots.join(may, "class")
+    never = some.join(large, "class", "left_semi").join(alone, "short").filter(100 * (n - F.col("alone")) < percent * n).select("class")
+    return spots.join(never, "class", "left_anti")
 
 
 def _mixed(spots: DataFrame) -> DataFrame:
@@ -180,11 +179,17 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     both = pairs.filter(_alike("xn", "yn", percent)).join(sets.select(F.col("class").alias("y"), F.col("tokens").alias("ys")), "y").join(sets.select(F.col("class").alias("x"), F.col("tokens").alias("xs")), "x")
     common = F.size(F.array_intersect("xs", "ys"))
     links = materialize(both.filter(100 * common >= percent * (F.col("xn") + F.col("yn") - common)).select("x", "y"), "links")
-    roots = components(links)
+    comp_of = members.select("class").distinct().withColumn("comp", F.col("class"))
+
+    def joined(comp_of: DataFrame, links: DataFrame) -> DataFrame:
+        """class, comp with the components that links connect made one."""
+        of = lambda c: comp_of.select(F.col("class").alias(c), F.col("comp").alias(f"{c}c"))
+        roots = components(links.join(of("x"), "x").join(of("y"), "y").select(F.col("xc").alias("x"), F.col("yc").alias("y")))
+        return materialize(comp_of.join(roots.withColumnRenamed("node", "comp"), "comp", "left").select("class", F.coalesce("root", "comp").alias("comp")), "components")
 
+    comp_of = joined(comp_of, links)
     #: What the pivots leave: the other classes of buckets in which such are in different components.
-    in_component = lambda spots: spots.join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("comp"))
-    spots = _mixed(in_component(members.filter("class != pivot.class").select("key", "class")))
+    spots = _mixed(members.filter("class != pivot.class").select("key", "class", F.col("pivot.class").alias("pivot")).join(comp_of, "class"))
     if not spots.isEmpty():
         spots = _mixed(_may_link(spots, sets, percent))
     for groups in (_inside_blocks, _beside_the_main):
@@ -192,11 +197,10 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             break
         more = _multiply(groups(spots), sets, percent)
         if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = components(links)
-            spots = _mixed(in_component(spots.drop("comp")))
+            comp_of = joined(comp_of, more)
+            spots = _mixed(spots.drop("comp").join(comp_of, "class"))
 
-    known = classes.select("class", "least").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    known = classes.select("class", "least").join(comp_of.withColumnRenamed("comp", "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     firsts = materialize(known.groupBy("root").agg(F.min("least").alias("first")), "firsts")
     known = materialize(known.join(firsts, "root").select("class", F.col("first.id").alias("component_id")), "components")
     keep = ["id", "n", "component_id", "text_hash"]
