@@ -7,9 +7,9 @@
    pivot; each other class is compared with it on full sets, in the JVM.
 3. What is linked so far is joined to components.  A bucket whose other classes aren't all in one component goes on.  Classes whose
    buckets lead to the same least pivot are a family; families are cut into blocks of about BLOCK_CLASSES (from those of
-   several blocks, classes that share too few shingles with all others together drop out).  The pairs of a block are compared on full sets by a product of incidence matrices, components are joined
-   again, and then only classes outside their bucket's largest component are compared with the components that they share a
-   bucket with.  So a large group of near copies, once joined, isn't compared pair by pair.
+   several blocks, classes that share too few shingles with all others together drop out).  The pairs of a block are
+   compared on full sets by a product of incidence matrices, components are joined again, and then only classes outside
+   their bucket's largest component are compared with the components that they share a bucket with.  So a large group of near copies, once joined, isn't compared pair by pair.
 
 Every pair of classes with a key in common is thus compared or already joined; a linked pair has none in common with
 probability of at most (1 - 0.85**6)**50, 6e-11.  Links are confirmed on full sets; shingles are compared by 64-bit hashes.
@@ -67,15 +67,15 @@ def _families(spots: DataFrame) -> DataFrame:
     return home.join(home.groupBy("home").agg(F.count(F.lit(1)).alias("members")), "home").select("class", "home", "members")
 
 
-def _placed(spots: DataFrame) -> DataFrame:
+def _placed(families: DataFrame) -> DataFrame:
     """The block of each class: families are cut into blocks of about BLOCK_CLASSES."""
     salt = F.pmod(F.xxhash64("class"), F.ceil(F.col("members") / BLOCK_CLASSES))
-    return _families(spots).select("class", F.xxhash64("home", salt).alias("block"))
+    return families.select("class", F.xxhash64("home", salt).alias("block"))
 
 
 def _inside_blocks(spots: DataFrame) -> DataFrame:
     """Groups for _multiply(): each block with itself."""
-    blocks = spots.join(_placed(spots), "class")
+    blocks = spots.join(_placed(_families(spots)), "class")
     mixed = blocks.groupBy("key", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key", "block")
     found = blocks.join(mixed, ["key", "block"]).select(F.col("block").alias("a"), F.lit(0).alias("b"), "class").distinct()
     return found.withColumn("side", F.explode(F.array(F.lit("a"), F.lit("b"))))
@@ -85,8 +85,9 @@ def _beside_the_main(spots: DataFrame) -> DataFrame:
     """Groups for _multiply(): classes outside their bucket's main component, in blocks, with all classes of the components that
     they share a bucket with, in parts."""
     mains = spots.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "comp"))["comp"].alias("main"))
-    odd = materialize(spots.join(mains, "key").filter("comp != main").select("key", "class", "pivot"), "odd")
-    blocks = materialize(_placed(odd), "blocks")
+    odd = materialize(spots.join(mains, "key").filter("comp != main").select("key", "class"), "odd")
+    of_odd = materialize(_families(spots).drop("members").join(odd.select("class").distinct(), "class"), "families")
+    blocks = materialize(_placed(of_odd.join(of_odd.groupBy("home").agg(F.count(F.lit(1)).alias("members")), "home")), "blocks")
     near = odd.join(blocks, "class").select(F.col("block").alias("a"), "key").distinct().join(spots.select("key", "comp").distinct(), "key").select("a", "comp").distinct()
     others = materialize(near.join(spots.select("class", "comp").distinct(), "comp").select("a", "class"), "others")
     parts = others.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES).cast("int").alias("parts"))
