@@ -2,9 +2,10 @@
 
 Words of the benchmark get numbers.  Each task numbers the words of its shard of documents (consecutive rows of
 bounded size), sorts the shard's suffixes in full (prefix doubling; a suffix ends at the first word the benchmark doesn't
-have) and binary-searches every suffix of every test item among them.  That gives each test suffix's longest verbatim
-match in the shard and its place; those as long as a window are hits, and all places of such a window are read off
-the array.  There is no shuffle.  longest_matches() reports the longest match over all shards.
+have) and binary-searches every suffix of every test item among them.  Suffixes that find their window are hits, and all its
+places are read off the array: the longest verbatim matches are what such windows cover together.  Suffixes with the same
+window are one class, so repeated text and items with common heads cost no more than other text.  There is no shuffle.
+longest_matches() reports each test suffix's longest match, and its place, over all shards.
 
 The benchmark is broadcast in blocks of at most BLOCK_WORDS words, so what a task holds is bounded; with more
 than one block the documents are scanned once for each block and the hits are merged by row.
@@ -18,6 +19,7 @@ decontaminate() keeps all of them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +58,10 @@ class TestItems:
         self.left = np.repeat(size, size) - self.place
         self.width = np.minimum(window, np.repeat(size, size))
         self.shortest = int(self.width.min()) if len(self.width) else window
+        #: The ids as strings, each once, sorted; and which of them an item has (-1: null).
+        self.labels = sorted({str(i) for i in self.ids if i is not None})
+        at = {label: k for k, label in enumerate(self.labels)}
+        self.label = np.array([-1 if i is None else at[str(i)] for i in self.ids], np.int64)
 
 
 def suffix_array(numbers: np.ndarray, shortest: int) -> np.ndarray:
@@ -135,36 +141,61 @@ class Shard:
         for at, w in zip(self.begin.tolist(), words, strict=True):
             self.numbers[at : at + len(w)] = np.fromiter((get(x, 0) for x in w), np.int64, len(w))
         self.order = suffix_array(self.numbers, tests.shortest) if len(tests.start) else np.zeros(0, np.int64)
-        self.length, self.where = longest(self.numbers, self.order, tests)
 
     def text_of(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.begin, places, "right") - 1
 
 
-def scan(texts: list[bytes], tests: TestItems) -> list[tuple[int, list[tuple[int, int]], set[int]]]:
-    """For each text: words, hit ranges of words, numbers of the items that occur."""
+class Hits(NamedTuple):
+    """What a shard's texts have of the test windows: word counts, hit runs of words by text, labels by text."""
+
+    size: np.ndarray
+    run_text: np.ndarray
+    run_start: np.ndarray
+    run_end: np.ndarray
+    label_text: np.ndarray
+    label: np.ndarray
+
+    def ranges(self) -> list[list[list[int]]]:
+        out: list[list[list[int]]] = [[] for _ in self.size]
+        for t, a, b in zip(self.run_text.tolist(), self.run_start.tolist(), self.run_end.tolist(), strict=True):
+            out[t].append([a, b])
+        return out
+
+    def items(self, labels: list[str]) -> pa.Array:
+        ends = np.searchsorted(self.label_text, np.arange(len(self.size) + 1))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(labels, pa.string()).take(pa.array(self.label)))
+
+    def hit_words(self) -> np.ndarray:
+        return np.bincount(self.run_text, self.run_end - self.run_start, len(self.size)).astype(np.int64)
+
+
+def scan(texts: list[bytes], tests: TestItems) -> Hits:
+    """Every test suffix is searched for its window.  Suffixes with the same window have the same stretch of the suffix array:
+    they are one class, whose places are marked once and whose items are listed once for each text."""
     shard = Shard(texts, tests)
-    out: list[tuple[int, list[tuple[int, int]], set[int]]] = [(n, [], set()) for n in shard.size.tolist()]
-    hit = np.flatnonzero(shard.length >= tests.width)
-    sides = [bound(shard.numbers, shard.order, tests.numbers, tests.start[hit], tests.width[hit], right) for right in (False, True)]
-    for t, lo, hi in zip(hit.tolist(), *(s.tolist() for s in sides), strict=True):
-        places, width, item = shard.order[lo:hi], int(tests.width[t]), int(tests.item[t])
-        docs = shard.text_of(places)
-        for d, p in zip(docs.tolist(), (places - shard.begin[docs]).tolist(), strict=True):
-            out[d][1].append((p, p + width))
-            out[d][2].add(item)
-    return out
-
-
-def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Overlapping or touching ranges joined."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(ranges):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+    whole = np.flatnonzero(tests.left >= tests.width)  # a suffix shorter than its window has none
+    lo, hi = (bound(shard.numbers, shard.order, tests.numbers, tests.start[whole], tests.width[whole], right) for right in (False, True))
+    there = hi > lo
+    lo, hi, hit = lo[there], hi[there], whole[there]
+    classes, which = np.unique(np.stack([lo, hi, tests.width[hit]]), axis=1, return_inverse=True)
+    which = which.ravel()
+    of_class = np.split(tests.label[tests.item[hit[np.argsort(which, kind="stable")]]], np.cumsum(np.bincount(which, minlength=classes.shape[1]))[:-1]) if len(hit) else []
+    edge = np.zeros(len(shard.numbers) + 1, np.int64)
+    found: dict[int, list[np.ndarray]] = {}
+    for (first, last, width), labels in zip(classes.T.tolist(), of_class, strict=True):
+        places, labels = shard.order[first:last], np.unique(labels[labels >= 0])
+        edge[places] += 1  # the places of a class are all different
+        edge[places + width] -= 1
+        for t in np.unique(shard.text_of(places)).tolist():
+            found.setdefault(t, []).append(labels)
+    covered = np.concatenate([[0], np.cumsum(edge[:-1]) > 0, [0]]).astype(np.int8)
+    start, end = np.flatnonzero(np.diff(covered) > 0), np.flatnonzero(np.diff(covered) < 0)
+    text = shard.text_of(start)
+    labels = {t: np.unique(np.concatenate(x)) for t, x in sorted(found.items())}
+    none = np.zeros(0, np.int64)
+    label_text = np.repeat(np.array([*labels], np.int64), [len(x) for x in labels.values()])
+    return Hits(shard.size, text, start - shard.begin[text], end - shard.begin[text], label_text, np.concatenate([none, *labels.values()]))
 
 
 def shards_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
@@ -200,7 +231,6 @@ def _block_count(benchmark: DataFrame, text_col: str, block_words: int) -> bool:
 RESULT = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("ranges", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("items", T.ArrayType(T.StringType())),
 ])
-_ARROW = [pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.string())]
 
 
 def find_contamination(
@@ -219,8 +249,7 @@ def find_contamination(
             t = shared.value
             for batch in shards_of(batches, 1):
                 found = scan(texts_of(batch.column(1)), t)
-                columns = [[n for n, _, _ in found], [merged(r) for _, r, _ in found], [sorted({str(t.ids[k]) for k in i if t.ids[k] is not None}) for _, _, i in found]]
-                anonymous = [pa.array(c, kind) for c, kind in zip(columns, _ARROW, strict=True)]
+                anonymous = [pa.array(found.size), pa.array(found.ranges(), pa.list_(pa.list_(pa.int32()))), found.items(t.labels)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(k) for k in range(2, 2 + carried)), *anonymous], schema.names)
 
         return source.mapInArrow(run, schema)
@@ -260,14 +289,22 @@ def longest_matches(
             t = shared.value
             for batch in shards_of(batches, 1):
                 shard = Shard(texts_of(batch.column(1)), t)
-                hit = np.flatnonzero(shard.length >= t.width)
-                first = bound(shard.numbers, shard.order, t.numbers, t.start[hit], shard.length[hit], False)
-                last = bound(shard.numbers, shard.order, t.numbers, t.start[hit], shard.length[hit], True)
-                k = np.repeat(hit, last - first)
-                places = np.concatenate([np.zeros(0, np.int64), *(shard.order[a:b] for a, b in zip(first, last, strict=True))])
+                length, _ = longest(shard.numbers, shard.order, t)
+                hit = np.flatnonzero(length >= t.width)
+                sides = [bound(shard.numbers, shard.order, t.numbers, t.start[hit], length[hit], right) for right in (False, True)]
+                classes, which = np.unique(np.stack([*sides, length[hit]]), axis=1, return_inverse=True)
+                ids = batch.column(0).to_pylist()
+                known = {x: k for k, x in enumerate(sorted({x for x in ids if x is not None}))}
+                rank = np.array([known.get(x, -1) for x in ids], np.int64)  # nulls first
+                least = np.zeros(classes.shape[1], np.int64)
+                for k, (first, last, _) in enumerate(classes.T.tolist()):
+                    places = shard.order[first:last]
+                    docs = shard.text_of(places)
+                    least[k] = places[np.lexsort((places - shard.begin[docs], rank[docs]))[0]]
+                places = least[which.ravel()]
                 docs = shard.text_of(places)
-                ids = [None if t.ids[i] is None else str(t.ids[i]) for i in t.item[k].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(t.place[k].astype(np.int32)), pa.array(shard.length[k].astype(np.int32)), batch.column(0).take(pa.array(docs)), pa.array((places - shard.begin[docs]).astype(np.int32))], schema.names)
+                names = [None if t.ids[i] is None else str(t.ids[i]) for i in t.item[hit].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(t.place[hit].astype(np.int32)), pa.array(length[hit].astype(np.int32)), batch.column(0).take(pa.array(docs)), pa.array((places - shard.begin[docs]).astype(np.int32))], schema.names)
 
         return docs.mapInArrow(run, schema)
 
@@ -298,8 +335,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, text_col: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shards_of(batches, at):
             found = scan(texts_of(batch.column(at)), shared.value)
-            hits = [(sum(b - a for a, b in merged(r)), n) for n, r, _ in found]
-            yield batch.filter(pa.array([not (h and 20 * h >= n) for h, n in hits], pa.bool_()))
+            n = found.hit_words()
+            yield batch.filter(pa.array((n == 0) | (20 * n < found.size)))
 
     return documents.mapInArrow(run, documents.schema)
 
