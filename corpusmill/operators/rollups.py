@@ -41,6 +41,8 @@ def fingerprint(files: DataFrame, key: str, most: int = FINGERPRINT_FILES) -> Da
         return rows.groupBy(*keys).agg(F.sha1(F.array_join(F.transform(held, lambda r: r["line"]), "\n").cast("binary")).alias("fingerprint"))
 
     small = digest(sized(F.col("n_files") <= most), "key", "n_files")
+    if sizes.filter(F.col("n_files") > most).isEmpty():
+        return small.select(F.col("key").alias(key), "fingerprint", "n_files")
     blocks = digest(numbered(sized(F.col("n_files") > most), "key", ["parts", "line"]).withColumn("block", F.floor(F.col("number") / most)), "key", "n_files", "block")
     of_blocks = F.sort_array(F.collect_list(F.struct("block", "fingerprint")))
     large = blocks.groupBy("key", "n_files").agg(F.sha1(F.array_join(F.transform(of_blocks, lambda b: b["fingerprint"]), "\n").cast("binary")).alias("fingerprint"))
