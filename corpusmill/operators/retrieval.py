@@ -38,18 +38,25 @@ def _extent(vectors: DataFrame) -> tuple[int, int]:
     return n, high or 0
 
 
-def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k highest of each column, rows first on a tie; -inf is no score.  Column by column."""
+def _best(scores: np.ndarray, s: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) of the k highest of each column of s @ q.T, rows first on a tie; -inf in scores is no score.
+    Column by column.
+
+    scores is that product, whose last digits depend on the blocks' shapes; what it can't tell apart is summed again from the
+    first number on, so that a pair of vectors has one score in any block and equal vectors are a tie.
+    """
+    there = scores > -np.inf
     if len(scores) > k:
-        least = np.partition(scores, -k, axis=0)[-k]
-        row, column = np.nonzero((scores >= least) & (scores > -np.inf))
-    else:
-        row, column = np.nonzero(scores > -np.inf)
-    order = np.lexsort((row, -scores[row, column], column))
-    row, column = row[order], column[order]
-    first = np.searchsorted(column, column)
-    kept = np.arange(len(column)) - first < k
-    return row[kept], column[kept]
+        unsure = 4 * s.shape[1] * 2.0**-53 * np.linalg.norm(s, axis=1).max() * np.linalg.norm(q, axis=1)
+        there &= scores >= np.partition(scores, -k, axis=0)[-k] - unsure
+    row, column = np.nonzero(there)
+    score = np.zeros(len(row))
+    for x, y in zip(s.T, q.T, strict=True):
+        score += x[row] * y[column]
+    order = np.lexsort((row, -score, column))
+    row, column, score = row[order], column[order], score[order]
+    kept = np.arange(len(column)) - np.searchsorted(column, column) < k
+    return row[kept], column[kept], score[kept]
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP, query_filter: str | None = None) -> DataFrame:
@@ -73,7 +80,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP, query_filter: st
     schema = T.StructType([asked.schema["query_id"], stored.schema["id"], T.StructField("score", T.DoubleType())])
 
     def block(key: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(key, "embedding"), F.lit(n))
+        return F.pmod(F.xxhash64(key, "embedding"), F.lit(n)).cast("int")  # as every(): both sides are dealt by hashes of one type
 
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     a = asked.withColumn("a", block("query_id", left)).withColumn("b", every(right)).groupBy("a", "b")
@@ -92,12 +99,13 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP, query_filter: st
         step = max(1, SCORES // len(q))
         for at in range(0, stored.num_rows, step):
             part = stored.slice(at, step)
-            scores = numbers(part["embedding"]) @ q.T
+            s = numbers(part["embedding"])
+            scores = s @ q.T
             if query_filter:
                 there = np.array(part["f"].to_pylist(), object)
                 scores[(there[:, None] != wanted[None, :]) & np.array([f is not None for f in wanted])[None, :]] = -np.inf
-            row, column = _best(scores, k)
-            found.append((row + at, column, scores[row, column]))
+            row, column, score = _best(scores, s, q, k)
+            found.append((row + at, column, score))
         row, column, score = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((row, -score, column))
         row, column, score = row[order], column[order], score[order]

@@ -45,6 +45,47 @@ def test_top_k_in_blocks(spark, monkeypatch, numbers, strings):
     assert free == nearest([(i, e, None) for i, e, _ in queries], vectors, 5)
 
 
+@pytest.fixture
+def uncoalesced(spark):
+    """Shuffles keep their partitions, as they do with larger inputs."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_top_k_blocks_meet_in_whichever_partition(spark, uncoalesced, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK_NUMBERS", 60)
+    monkeypatch.setattr(retrieval, "LEAST_ROWS", 5)
+    r = random.Random(5)
+    vectors = [(i, [float(r.randint(-3, 3)) for _ in range(4)]) for i in range(80)]
+    v = spark.createDataFrame(vectors, "id long, embedding array<float>")
+    q = v.filter("id % 4 = 0").withColumnRenamed("id", "query_id")
+    got = sorted((x.query_id, x.id, x.rank) for x in retrieval.top_k(q, v, 5).collect())
+    assert got == nearest([(i, e, None) for i, e in vectors if i % 4 == 0], [(*x, None) for x in vectors], 5)
+
+
+def test_top_k_scores_are_the_same_in_any_block(spark, monkeypatch):
+    """Equal vectors are a tie by id; scores are sums from the first number on, to the last digit."""
+    r = np.random.default_rng(6)
+    kinds = r.normal(size=(3, 67)).astype(np.float32)
+    vectors = [(i, kinds[i % 3].tolist()) for i in range(61)]
+    v = spark.createDataFrame(vectors, "id long, embedding array<float>")
+    q = v.filter("id < 7").withColumnRenamed("id", "query_id")
+    for scores in (14, 1 << 21):
+        monkeypatch.setattr(retrieval, "SCORES", scores)
+        monkeypatch.setattr(retrieval, "LEAST_ROWS", 1000 if scores == 14 else 4)
+        got = sorted((x.query_id, x.rank, x.id, x.score) for x in retrieval.top_k(q, v, 25).collect())
+        want = []
+        for i in range(7):
+            of = [0.0] * 3
+            for n, k in enumerate(kinds):
+                for a, b in zip(kinds[i % 3], k, strict=True):
+                    of[n] += float(a) * float(b)
+            best = sorted((-of[j % 3], j) for j, _ in vectors)[:25]
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+        assert got == want
+
+
 def test_top_k_plan_is_the_same_for_any_number_of_queries(spark):
     v = spark.range(200).select("id", F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
     plan = lambda n: retrieval.top_k(spark.range(n).select(F.col("id").alias("query_id"), F.array(F.lit(1.0).cast("float"), F.col("id").cast("float")).alias("embedding")), v)
