@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import hashlib
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions.exprs import LEAST_TEXT_LAYER, needs_ocr
 from .scratch import written
@@ -21,18 +27,63 @@ def numbered(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return there.withColumn("number", F.col("__ahead") + F.col("__at") - F.col("__first")).drop("__at", "__part", "__key", "__p", "__first", "__ahead")
 
 
-#: Files whose lines are hashed together.
-FINGERPRINT_FILES = 10_000
-
-
-def fingerprint(files: DataFrame, key: str, most: int = FINGERPRINT_FILES) -> DataFrame:
-    """SHA-1 of the `path:size:mtime` lines of a group in path order (by parts).  One line a file, no content.
-
-    A group of more than `most` files has the SHA-1 of the SHA-1s of each `most` lines in turn, so no row holds more than so
-    many lines.  Null keys are one group.
+#: Lines that go to their group's hash as one row.
+LINES = 1000
+
+_RUN = T.StructType([T.StructField("key", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("at", T.LongType()), T.StructField("n", T.LongType()), T.StructField("text", T.StringType())])
+_DIGEST = T.StructType([T.StructField("key", T.StringType()), T.StructField("fingerprint", T.StringType()), T.StructField("n_files", T.LongType())])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of one key that stand together in a batch of (key, line) rows, LINES at most, joined; numbered in the partition."""
+    part, at = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        lines, lo, out = batch.column(1).to_pylist(), 0, []
+        for key, same in groupby(batch.column(0).to_pylist()):
+            end = lo + sum(1 for _ in same)
+            for first in range(lo, end, LINES):
+                held = lines[first : min(end, first + LINES)]
+                out.append((key, part, at, len(held), "\n".join(held)))
+                at += 1
+            lo = end
+        if out:
+            types = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], _RUN.names)
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, fingerprint, n_files) of (key, n, text) rows that come by keys and in order; one key's hash is held at a time."""
+    done: list[tuple[str | None, str, int]] = []
+    now, digest, total = None, None, 0
+    for batch in batches:
+        for key, n, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if digest is None or key != now:
+                if digest is not None:
+                    done.append((now, digest.hexdigest(), total))
+                now, digest, total = key, hashlib.sha1(), 0
+            digest.update((("\n" if total else "") + text).encode())
+            total += n
+    if digest is not None:
+        done.append((now, digest.hexdigest(), total))
+    if done:
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], _DIGEST.names)
+
+
+def fingerprint(files: DataFrame, key: str, most: int | None = None) -> DataFrame:
+    """SHA-1 of the `path:size:mtime` lines of a group in path order (by parts).  One line a file, no content.  Null keys are
+    one group.
+
+    All lines are range-sorted and joined LINES at a time; a group's runs then stream past one hash, as SHA-1 is serial, so no
+    row and no memory holds a group.  With `most`, a group of more files has the SHA-1 of the SHA-1s of each `most` lines in turn.
     """
     line = F.concat_ws(":", "path", F.col("size").cast("string"), F.col("mtime").cast("string"))
     lines = files.select(F.col(key).alias("key"), F.split("path", "/").alias("parts"), line.alias("line"))
+    if most is None:
+        spread = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        order = lines.withColumn("key", F.col("key").cast("string")).repartitionByRange(spread, "key", "parts", "line").sortWithinPartitions("key", "parts", "line")
+        runs = order.select("key", "line").mapInArrow(_runs, _RUN).repartition("key").sortWithinPartitions("key", "part", "at")
+        out = runs.select("key", "n", "text").mapInArrow(_digests, _DIGEST)
+        return out.select(F.col("key").cast(lines.schema["key"].dataType).alias(key), "fingerprint", "n_files")
     sizes = written(lines.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n_files")), "sizes")
     sized = lambda some: lines.join(sizes.filter(some), F.col("key").eqNullSafe(F.col("k"))).drop("k")
 

@@ -181,6 +181,19 @@ def test_fingerprints_of_any_size(spark):
     assert rollups.fingerprint(df.limit(0), "source").count() == 0
 
 
+@pytest.mark.parametrize("lines", [1000, 7])
+def test_fingerprint_of_a_large_group_is_of_its_lines(spark, monkeypatch, lines):
+    """Over 10,000 files: still the SHA-1 of all lines, in whichever partitions they are sorted."""
+    monkeypatch.setattr(rollups, "LINES", lines)
+    files = [("g" if k % 5 else None, f"{k % 3}/{k}", k * 7, k) for k in range(15_000)]
+    df = spark.createDataFrame(files, "source string, path string, size long, mtime long").repartition(5)
+    got = {x.source: (x.fingerprint, x.n_files) for x in rollups.fingerprint(df, "source").collect()}
+    for source in ("g", None):
+        text = [f"{p}:{s}:{m}" for _, p, s, m in sorted((f for f in files if f[0] == source), key=lambda f: f[1].split("/"))]
+        assert got.pop(source) == (hashlib.sha1("\n".join(text).encode()).hexdigest(), len(text))
+    assert not got
+
+
 def luhn(digits):
     total = 0
     for k, d in enumerate(reversed(digits)):
