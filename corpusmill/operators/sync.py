@@ -132,19 +132,20 @@ def needs_ingest(cases: DataFrame, state: DataFrame, refresh: bool = False, dry_
     return cases.join(s, condition, "left_anti")
 
 
-def flatten_docket(docket: DataFrame) -> DataFrame:
+def flatten_docket(docket: DataFrame, *order: str) -> DataFrame:
     """crn, href, downloaded_path and place (entry, document, attachment; a document stands before its attachments) of the
-    documents and attachments of nested docket entries."""
-    docs = docket.select("crn", F.posexplode("docket_entries").alias("e", "entry")).select("crn", "e", F.posexplode("entry.documents").alias("d", "doc"))
-    one = docs.select("crn", "doc.href", "doc.downloaded_path", F.struct("e", "d", F.lit(-1).alias("a")).alias("place"))
-    two = docs.select("crn", "e", "d", F.posexplode("doc.attachments").alias("a", "att")).select("crn", "att.href", "att.downloaded_path", F.struct("e", "d", "a").alias("place"))
+    documents and attachments of nested docket entries.  A case's entries may come in several rows; order then names the
+    columns that place these, and begins the place."""
+    docs = docket.select("crn", *order, F.posexplode("docket_entries").alias("e", "entry")).select("crn", *order, "e", F.posexplode("entry.documents").alias("d", "doc"))
+    one = docs.select("crn", "doc.href", "doc.downloaded_path", F.struct(*order, "e", "d", F.lit(-1).alias("a")).alias("place"))
+    two = docs.select("crn", *order, "e", "d", F.posexplode("doc.attachments").alias("a", "att")).select("crn", "att.href", "att.downloaded_path", F.struct(*order, "e", "d", "a").alias("place"))
     return one.unionByName(two).filter("href is not null")
 
 
-def previous_downloads(links: DataFrame, docket: DataFrame) -> DataFrame:
+def previous_downloads(links: DataFrame, docket: DataFrame, *order: str) -> DataFrame:
     """Links (crn, href) with the path that the same case's earlier manifest has for their href; of several places with a
     path the last one wins."""
-    known = flatten_docket(docket).filter(F.coalesce("downloaded_path", F.lit("")) != "").groupBy("crn", "href").agg(F.max_by("downloaded_path", "place").alias("downloaded_path"))
+    known = flatten_docket(docket, *order).filter(F.coalesce("downloaded_path", F.lit("")) != "").groupBy("crn", "href").agg(F.max_by("downloaded_path", "place").alias("downloaded_path"))
     return links.join(known, ["crn", "href"], "left")
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import dockets, dom, html, sites, sync
+from corpusmill.plans import registry
 
 
 def trees(spark, pages):
@@ -153,3 +154,11 @@ def test_last_path_of_a_link_within_its_case(spark):
     links = spark.createDataFrame([("A", "h1"), ("A", "h2"), ("B", "h1"), ("B", "h2"), ("C", "h1")], "crn string, href string")
     got = {(r.crn, r.href): r.downloaded_path for r in sync.previous_downloads(links, spark.createDataFrame(dockets_, schema)).collect()}
     assert got == {("A", "h1"): "a/1", ("A", "h2"): "z/2", ("B", "h1"): "zz/9", ("B", "h2"): None, ("C", "h1"): None}
+
+
+def test_last_path_of_lines_with_equal_numbers(spark, tmp_path):
+    """Two lines of one number whose links clash: the attachment comes after both documents."""
+    lines = [(5, 2, 1, 0), (5, 2, 1, 1), (5, 2, 1, 7), (4, 2, 2, 3), (4, 1, 2, 2)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r.crn, r.href): r.downloaded_path for r in registry.QUERIES["downloads_last_wins"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "doc/0"): "f/5/2", (1, "doc/1"): "g/5/2", (1, "doc/2"): "g/5/2", (2, "doc/3"): "f/4/2", (2, "doc/4"): "g/4/2", (2, "doc/2"): "f/4/1"}
