@@ -222,7 +222,7 @@ def _title(rule: SiteRule, tree: Column, node: Column, body: Column, number: Col
             behind = lambda nodes, mark: F.filter(nodes, lambda n: n["pos"] > mark["pos"])
             found = behind(found, first(select(tree, rule.title_after)))
         texts = F.transform(found, lambda n: _plain(node_text(tree, n)))
-        text = F.get(F.filter(texts, lambda t: t.rlike(rule.where)) if rule.where else texts, F.lit(0))
+        text = F.get(F.filter(texts, lambda t: t.rlike(f"(?U){rule.where}")) if rule.where else texts, F.lit(0))  # letters of any script
     if rule.find:
         got = lambda t: _extract(t, rule.find, number)
         text = let(text, lambda t: F.when(t.rlike(rule.find), got(t)).otherwise(t) if rule.whole else got(t))

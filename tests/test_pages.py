@@ -162,3 +162,12 @@ def test_last_path_of_lines_with_equal_numbers(spark, tmp_path):
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {(r.crn, r.href): r.downloaded_path for r in registry.QUERIES["downloads_last_wins"](spark, str(tmp_path)).collect()}
     assert got == {(1, "doc/0"): "f/5/2", (1, "doc/1"): "g/5/2", (1, "doc/2"): "g/5/2", (2, "doc/3"): "f/4/2", (2, "doc/4"): "g/4/2", (2, "doc/2"): "f/4/1"}
+
+
+def test_titles_in_letters_of_any_script_and_cut_quotes(spark, tmp_path):
+    """A heading without an ASCII letter is a title; a reference that is cut inside a heading stays."""
+    page = lambda k, site, h: (k, f"https://x.y/{site}/{k}", f"<title>t</title><body><article><h1>{h}</h1></article><div class=\"ad\">Ad.</div></body>")
+    pages = [page(1, "fr", "Éç Éç"), page(2, "fr", "Ça va"), page(3, "en", "Token = &quot"), page(4, "en", "Say &quot;so&quot;."), page(5, "fr", "日本 語")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.title for r in registry.QUERIES["site_sections"](spark, str(tmp_path)).collect()}
+    assert got == {1: "Éç", 2: "Ça", 3: "Token = &quot", 4: 'Say "so', 5: "日本"}
