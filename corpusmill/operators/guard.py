@@ -78,8 +78,10 @@ def pii_spans(text: Column) -> Column:
             lambda done, x: F.when(x["m"].isNull(), done).otherwise(F.concat(done, F.array(F.coalesce(F.element_at(F.when(F.size(done) > 0, done), -1), F.lit(0)) + x["g"] + x["m"]))),
         )
         spans = F.zip_with(ends, matches, lambda e, m: F.struct((e - F.length(m)).alias("start"), (-e).alias("last"), F.lit(k).alias("order"), F.lit(kind).alias("kind"), m.alias("m")))
-        return F.filter(spans, lambda s: luhn(s["m"])) if kind == "card" else spans
+        spans = F.filter(spans, lambda s: luhn(s["m"])) if kind == "card" else spans
+        return F.when(text.rlike(pattern), spans).otherwise(F.slice(spans_of_none, 1, 0))
 
+    spans_of_none = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("last"), F.lit(0).alias("order"), F.lit("").alias("kind"), F.lit("").alias("m")))
     every = F.array_sort(F.concat(*(found(k, kind, pattern) for k, (kind, pattern) in enumerate(kinds.items()))))
 
     def joined(done: Column, s: Column) -> Column:
@@ -95,19 +97,22 @@ def pii_spans(text: Column) -> Column:
     return F.when(text.rlike("|".join(kinds.values())), F.aggregate(every, none, joined)).otherwise(none)
 
 
-def pii_counts(text: Column) -> dict[str, Column]:
-    """How many spans of each kind mask_pii() replaces; a null text has none."""
-    spans = pii_spans(F.coalesce(text, F.lit("")))
+def pii_counts(text: Column, spans: Column | None = None) -> dict[str, Column]:
+    """How many spans of each kind mask_pii() replaces; a null text has none.
+
+    Each count looks for the spans again, unless they are given: a column of pii_spans() of the text.
+    """
+    spans = pii_spans(F.coalesce(text, F.lit(""))) if spans is None else spans
     counted = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
     return {f"n_{kind}": counted(kind) for kind in (*PII, "card")}
 
 
-def mask_pii(text: Column) -> Column:
-    """Financial data replaced by its kind; names, mail, phone and address stay."""
+def mask_pii(text: Column, spans: Column | None = None) -> Column:
+    """Financial data replaced by its kind; names, mail, phone and address stay.  spans: of the text, if they are known."""
 
     def masked(spans: Column) -> Column:
         after = lambda i: F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(0)
         pieces = F.transform(spans, lambda s, i: F.concat(F.substr(text, after(i) + 1, s["start"] - after(i)), F.lit("{"), F.upper(s["kind"]), F.lit("}")))
         return F.concat(F.array_join(pieces, ""), F.substr(text, F.coalesce(F.element_at(F.when(F.size(spans) > 0, spans), -1)["end"], F.lit(0)) + 1))
 
-    return let(pii_spans(text), masked)
+    return let(pii_spans(text) if spans is None else spans, masked)

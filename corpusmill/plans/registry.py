@@ -200,14 +200,16 @@ _PII = ", ".join(f"CAST(len(regexp_extract_all(coalesce(text, ''), '{p}')) AS BI
 def pii_mask_counts(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("turn"), "text")
     c = table(spark, sf_dir, "conversations").select(F.lit("conversation").alias("kind"), F.col("conv_id").alias("id"), "turn", "text")
-    counts = {k: v for k, v in guard.pii_counts(F.col("text")).items() if k != "n_card"}
-    return d.unionByName(c).select("kind", "id", "turn", *(v.alias(k) for k, v in counts.items()))
+    found = d.unionByName(c).select("kind", "id", "turn", guard.pii_spans(F.coalesce("text", F.lit(""))).alias("spans"))
+    counts = {k: v for k, v in guard.pii_counts(F.lit(None), F.col("spans")).items() if k != "n_card"}
+    return found.select("kind", "id", "turn", *(v.alias(k) for k, v in counts.items()))
 
 
 @query()
 def pii_masked(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", guard.pii_counts(F.col("text"))["n_card"].alias("n_card"), guard.mask_pii(F.col("text")).alias("text"))
+    text, spans = F.col("text"), F.col("spans")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", guard.pii_spans(F.coalesce(text, F.lit(""))).alias("spans"))
+    return d.select("doc_id", guard.pii_counts(text, spans)["n_card"].alias("n_card"), guard.mask_pii(text, spans).alias("text"))
 
 
 @query("""

@@ -312,3 +312,12 @@ def test_blocks_out_of_order_are_an_error(spark):
     assert chunking.numbered_pieces(blocks.coalesce(1)).count() == 6
     with pytest.raises(Exception, match="rows have been moved"):
         chunking.numbered_pieces(blocks.coalesce(1).sortWithinPartitions(F.desc("section_no"))).collect()
+
+
+def test_spans_are_found_once_for_all_counts(spark):
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    plan = lambda q: registry.QUERIES[q](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    found = [plan("pii_masked").count("regexp_extract_all("), plan("pii_mask_counts").count("regexp_extract_all(")]
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    kinds = len(guard.PII) + 1
+    assert found[0] <= 3 * kinds and found[1] <= 2 * 3 * kinds  # two tables
