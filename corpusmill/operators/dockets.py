@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..functions.exprs import cleaned, docket_description, entry_number, strip_label
-from .dom import first, grid, let, node_text, select_text
+from .dom import below, first, grid, let, node_text, select_text
 from .html import resolve
 
 #: The page's element ids.
@@ -30,8 +30,7 @@ def parties(tree: Column) -> Column:
 
 def entries(tree: Column, base_url: Column) -> Column:
     """Rows of the documents table that link a document, numbered from 1 in the order of the page."""
-    nodes = tree["nodes"]
-    link_in = lambda cell: first(F.filter(nodes, lambda n: (n["tag"] == "a") & n["id"].endswith(DOCUMENT) & (n["pos"] > cell["pos"]) & (n["pos"] <= cell["last"])))
+    link_in = lambda cell: first(F.filter(below(tree, cell), lambda n: (n["tag"] == "a") & n["id"].endswith(DOCUMENT)))
     rows = F.transform(F.filter(grid(tree, f"#{ENTRIES}"), lambda cells: F.size(cells) >= 4), lambda cells: F.struct(cells.alias("cells"), link_in(F.get(cells, F.lit(3))).alias("link")))
     rows = F.filter(rows, lambda r: r["link"].isNotNull())
 

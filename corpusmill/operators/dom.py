@@ -147,6 +147,11 @@ def _simple(text: str, n: Column) -> Column:
     return F.coalesce(reduce(lambda a, b: a & b, tests, n["tag"] != TEXT), F.lit(False))
 
 
+def below(tree: Column, node: Column) -> Column:
+    """The nodes inside an element; none for no element.  Nodes stand at their places, so no others are looked at."""
+    return F.slice(tree["nodes"], F.coalesce(node["pos"], F.lit(0)) + 2, F.coalesce(node["last"] - node["pos"], F.lit(0)))
+
+
 def select(tree: Column, selector: str, inside: Column | None = None) -> Column:
     """The elements of a tree that a selector finds, in document order; inside: below that element only."""
     nodes = tree["nodes"]
@@ -167,7 +172,7 @@ def select(tree: Column, selector: str, inside: Column | None = None) -> Column:
 
     if inside is None:
         return F.filter(nodes, found)
-    return let(inside, lambda i: F.filter(nodes, lambda n: (n["pos"] > i["pos"]) & (n["pos"] <= i["last"]) & found(n)))
+    return let(inside, lambda i: F.filter(below(tree, i), found))
 
 
 def first(nodes: Column) -> Column:
@@ -186,7 +191,7 @@ def root(tree: Column) -> Column:
 
 def grid(tree: Column, table: str) -> Column:
     """The rows of a table element as arrays of the cells that are their children; no rows if there is no such table."""
-    cells = F.transform(select(tree, "tr", first(select(tree, table))), lambda r: F.filter(tree["nodes"], lambda n: (n["parent"] == r["pos"]) & (n["tag"] == "td")))
+    cells = F.transform(select(tree, "tr", first(select(tree, table))), lambda r: F.filter(below(tree, r), lambda n: (n["parent"] == r["pos"]) & (n["tag"] == "td")))
     return F.coalesce(cells, F.array().cast(T.ArrayType(T.ArrayType(NODE))))
 
 

@@ -179,3 +179,12 @@ def test_words_of_a_text_are_found_once(spark):
     plan = registry.QUERIES["text_sections"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     spark.conf.unset("spark.sql.debug.maxToStringFields")
     assert plan.count("regexp_extract_all(") == 1
+
+
+def test_what_lies_inside_an_element(spark):
+    """below() is the element's own nodes, by their places; the rest of a page isn't looked at."""
+    page = "<p id='a'><b>x</b></p><table><tr><td>1<i>2</i></td><td></td></tr></table><p>y</p>"
+    t = trees(spark, [(1, page), (2, "")])
+    inside = lambda s: F.transform(dom.below(t.tree, dom.first(dom.select(t.tree, s))), lambda n: n["tag"])
+    got = {r.id: (r.a, r.b, r.c, r.d) for r in t.select("id", inside("table").alias("a"), inside("p").alias("b"), inside("b").alias("c"), F.size(dom.select(t.tree, "td", dom.first(dom.select(t.tree, "h1")))).alias("d")).collect()}
+    assert got == {1: (["tr", "td", "#text", "i", "#text", "td"], ["b", "#text"], ["#text"], 0), 2: ([], [], [], 0)}
