@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import exprs as X
 from . import chunking, retrieval, sync
+from .scratch import written
 
 #: The metadata that a chunk is stored with.
 METADATA = ("source_type", "authority_level", "citation", "title", "section", "subsection", "date", "jurisdiction", "issuing_body", "topic", "stage", "document_id", "source_url", "source_path")
@@ -35,11 +36,14 @@ def flat(chunks: DataFrame) -> DataFrame:
 
 
 def ingest(files: DataFrame, stored: DataFrame, collection: str, embedder: Callable, model_dim: int | None = None) -> DataFrame:
-    """The stored table after the files' chunks are upserted into a collection: all chunks of a file are replaced."""
+    """The stored table after the files' chunks are upserted into a collection: all chunks of a file are replaced.
+
+    Chunks and embeddings are worked out once, to a written table: which files are replaced is read from that.
+    """
     new = retrieval.embed(flat(chunked(files)).withColumn("collection", F.lit(collection)), embedder)
     if model_dim:
         new = retrieval.check_dimension(new, model_dim)
-    return sync.replace_sources(stored, new)
+    return sync.replace_sources(stored, written(new, "chunks"))
 
 
 def report(files: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -170,7 +170,9 @@ def embed(df: DataFrame, model: Model | None = None, text_col: str = "text", fac
         vectors_of = model or _model(name, factory)
         for batch in batches:
             vectors = vectors_of([t or "" for t in batch.column(at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([[float(x) for x in v] for v in vectors], pa.list_(pa.float32()))], [*names, "embedding"])
+            ends = np.cumsum([0, *(len(v) for v in vectors)], dtype=np.int32)
+            numbers = np.concatenate([np.empty(0), *(np.asarray(v, np.float64) for v in vectors)]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(numbers))], [*names, "embedding"])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))]))
 

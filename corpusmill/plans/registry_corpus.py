@@ -377,7 +377,9 @@ def _part_files(spark, sf_dir: str, where: str) -> DataFrame:
     p = table(spark, sf_dir, "part").filter(where)
     name = F.element_at(F.array(F.lit("case-"), F.lit("guide-"), F.lit("notes-")), (F.col("p_partkey") % 3 + 1).cast("int"))
     text = F.when(F.col("p_partkey") % 10 == 0, F.lit("  ")).otherwise(F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")))
-    return p.select(F.concat(F.lit("parts/"), name, F.col("p_partkey").cast("string"), F.lit(".txt")).alias("source_path"), text.alias("text"))
+    files = p.select(F.concat(F.lit("parts/"), name, F.col("p_partkey").cast("string"), F.lit(".txt")).alias("source_path"), text.alias("text"))
+    # the table is one small file, so one task would chunk and embed all; a stated number isn't merged again
+    return files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source_path")
 
 
 @query("""SELECT CASE WHEN p_partkey % 10 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN 'case' WHEN p_partkey % 3 = 1 THEN 'court_guide' ELSE 'case_file' END AS source_type, CAST(count(*) AS BIGINT) AS n_files,

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import sql
-from corpusmill.operators import chunking, frontier, guard, html, retrieval, rollups
+from corpusmill.operators import chunking, frontier, guard, html, ingest, retrieval, rollups
 from corpusmill.plans import registry
 from corpusmill.sources import files
 
@@ -321,3 +321,20 @@ def test_spans_are_found_once_for_all_counts(spark):
     spark.conf.unset("spark.sql.debug.maxToStringFields")
     kinds = len(guard.PII) + 1
     assert found[0] <= 3 * kinds and found[1] <= 2 * 3 * kinds  # two tables
+
+
+def test_ingest_embeds_each_chunk_once(spark, tmp_path):
+    """Which files are replaced is read from the chunks as written, not worked out a second time."""
+    log = str(tmp_path / "calls")
+
+    def model(texts):
+        with open(log, "a") as f:
+            f.write("x" * len(texts))
+        return [[1.0, float(len(t))] for t in texts]
+
+    files_ = spark.createDataFrame([(f"notes-{k}.txt", f"text {k}") for k in range(20)], "source_path string, text string")
+    kept = ingest.flat(ingest.chunked(files_.limit(3))).withColumns({"collection": F.lit("c"), "text": F.lit("old"), "embedding": F.array(F.lit(0.0).cast("float"))})
+    out = ingest.ingest(files_, kept, "c", model, 2).collect()
+    assert sorted(r.text for r in out) == sorted(f"text {k}" for k in range(20)) and all(len(r.embedding) == 2 for r in out)
+    with open(log) as f:
+        assert len(f.read()) == 20
